@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from skein.functions.runtime import table
 
 
+def _model(spark: SparkSession, d: str):
+    from skein.llm.language import train
+
+    return train(table(spark, d, "lang_samples"), table(spark, d, "crawled_pages"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.language import unnamed_languages
+
+    return unnamed_languages(table(spark, d, "crawled_pages"), _model(spark, d))
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.language import page_languages
+
+    return page_languages(table(spark, d, "crawled_pages"), _model(spark, d))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.language import segments
+
+    return segments(table(spark, d, "crawled_pages"), _model(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.spam import redundancy
 
@@ -49,6 +73,66 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(table(spark, d, "crawled_pages"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.knn import similar_pairs
+
+    return similar_pairs(table(spark, d, "vectors"))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.knn import neighbours
+
+    return neighbours(table(spark, d, "vectors"), length=12, candidates=300, pivots_per_root=2.0)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.neardup import NearDuplicates
+
+    return NearDuplicates(table(spark, d, "crawled_pages")).pairs()
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    from skein.llm.neardup import NearDuplicates
+
+    return NearDuplicates(table(spark, d, "crawled_pages")).groups()
+
+
+def _packing(spark: SparkSession, d: str):
+    from skein.llm.packing import Packing
+
+    return Packing(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).oversized()
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).containers()
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _packing(spark, d).summary()
+
+
+def _mixture(spark: SparkSession, d: str):
+    from skein.llm.mixture import Mixture
+
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report().where("short").select("mix_id", "source").distinct()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report()
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).selection()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from skein.llm.spans import SharedSpans
 
@@ -89,8 +173,24 @@ runs2 AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS
 """
 
 
+_TOKENS = r"""tokens AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]+')) AS n FROM documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": """WITH pages AS (SELECT DISTINCT page_id, lower(coalesce(title, '')) AS t, lower(text) AS x FROM crawled_pages WHERE text IS NOT NULL),
+ words AS (SELECT page_id, regexp_extract_all(t || chr(10) || x, '[\\p{L}\\p{N}]+') AS w FROM pages WHERE len(regexp_extract_all(x, '[\\p{L}\\p{N}]+')) >= 50),
+ spots AS (SELECT page_id, w, unnest(range(1, len(w) - 1)) AS i FROM words),
+ grams AS (SELECT DISTINCT page_id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM spots),
+ sizes AS (SELECT page_id, count(*) AS n FROM grams GROUP BY page_id),
+ met AS (SELECT a.page_id AS p, b.page_id AS q, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.page_id < b.page_id GROUP BY 1, 2)
+ SELECT p AS page_id_a, q AS page_id_b FROM met JOIN sizes s ON s.page_id = p JOIN sizes t ON t.page_id = q WHERE k >= 0.6 * (s.n + t.n - k)""",
+        "p8_found": f"WITH {_TOKENS} SELECT spec_id, doc_id FROM tokens, container_specs WHERE n > capacity_tokens",
+        "p9_found": f"""WITH {_TOKENS}, total AS (SELECT sum(n) AS n FROM tokens),
+ own AS (SELECT lower(trim(source)) AS k, sum(n) AS n FROM tokens GROUP BY 1),
+ weights AS (SELECT mix_id, sum(target_weight) AS w FROM mixture_targets GROUP BY 1)
+ SELECT DISTINCT m.mix_id, m.source FROM mixture_targets m JOIN weights USING (mix_id) CROSS JOIN total LEFT JOIN own ON k = lower(trim(m.source))
+ WHERE m.target_weight > 0 AND m.target_weight / weights.w * m.size_ratio * total.n > m.max_repeats * coalesce(own.n, 0)""",
         "p5_found": f"WITH {_SITE_LINES} SELECT DISTINCT page_id, line_no FROM norm JOIN often USING (site, line)",
         "p5_clean": f"""WITH {_SITE_LINES},
  gone AS (SELECT DISTINCT page_id, line_no FROM norm JOIN often USING (site, line)),
