@@ -2,10 +2,69 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions.runtime import scratch, table
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, and its SQL."""
+
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# --- points ---------------------------------------------------------------------------------------------------------
+
+_POINTS = """last AS (SELECT id, unnest(max(struct_pack(seq, lat := fields.location.lat, lon := fields.location.lon)), recursive := true) FROM articles WHERE id IS NOT NULL GROUP BY id),
+pts AS (SELECT id, lat, lon FROM last WHERE abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0))"""
+_KM = "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_AREAS = """corners AS (SELECT area_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM geo_areas),
+edges AS (SELECT area_id, ring[i].lat AS y1, ring[i].lon AS x1, ring[i % len(ring) + 1].lat AS y2, ring[i % len(ring) + 1].lon AS x2 FROM corners),
+inside AS (SELECT id, area_id FROM (SELECT id, lat, lon + t.turn AS x, turn FROM pts, (VALUES (-360), (0), (360)) t(turn)) p JOIN edges e
+ ON (y1 > lat) <> (y2 > lat) AND x < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY id, area_id, turn HAVING count(*) % 2 = 1)"""
+
+
+def _article_points(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators.spatial import latest_points
+
+    rows = table(spark, d, "articles").select("id", "seq", F.col("fields.location.lat").alias("lat"), F.col("fields.location.lon").alias("lon"))
+    return scratch(latest_points(rows), "points")
+
+
+@query(f"""WITH {_POINTS}, {_AREAS} SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM pts a JOIN pts b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01 WHERE {_KM} <= 0.15
+ UNION ALL SELECT DISTINCT id, area_id FROM inside""")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators.spatial import containing_regions, near_pairs
+
+    points = _article_points(spark, d)
+    pairs = near_pairs(points, 0.15).select("id_a", "id_b")
+    regions = containing_regions(points, table(spark, d, "geo_areas")).select(F.col("id").alias("id_a"), F.col("area_id").alias("id_b"))
+    return pairs.unionByName(regions)
+
+
+@query(f"""WITH {_POINTS} SELECT id, count(*) AS n_near, min(km) AS nearest_km FROM (
+ SELECT a.id, round({_KM}, 6) AS km FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.1 WHERE {_KM} <= 1.0) GROUP BY id""")
+def p1_near_counts(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators.spatial import near_pairs
+
+    pairs = near_pairs(_article_points(spark, d), 1.0)
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"), "km")
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.round("km", 6)).alias("nearest_km"))
