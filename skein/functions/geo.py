@@ -24,8 +24,8 @@ def parse_point(text: Column) -> Column:
     get = lambda p: F.get_json_object(text, p).try_cast("double")
     is_object, is_array = text.rlike(r"^\s*\{"), text.rlike(r"^\s*\[")
     pair = F.split(F.regexp_replace(text, r'^\s*"|"\s*$', ""), ",")
-    lat = F.when(is_object, F.coalesce(get("$.lat"), get("$.latitude"))).when(is_array, get("$[1]")).when(F.size(pair) == 2, F.trim(pair[0]).try_cast("double"))
-    lon = F.when(is_object, F.coalesce(get("$.lon"), get("$.lng"), get("$.longitude"))).when(is_array, get("$[0]")).when(F.size(pair) == 2, F.trim(F.element_at(pair, 2)).try_cast("double"))
+    lat = F.when(is_object, F.coalesce(get("$.lat"), get("$.latitude"))).when(is_array, get("$[1]")).when(F.size(pair) == 2, F.trim(F.get(pair, F.lit(0))).try_cast("double"))
+    lon = F.when(is_object, F.coalesce(get("$.lon"), get("$.lng"), get("$.longitude"))).when(is_array, get("$[0]")).when(F.size(pair) == 2, F.trim(F.get(pair, F.lit(1))).try_cast("double"))
     return F.when(is_valid(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)?"
 
@@ -25,7 +26,7 @@ def normalize_text(s: str) -> str:
     return re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", s)).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else normalize_text(x))
 
@@ -142,7 +143,7 @@ def tokenize(text: str, stopwords: bool = True, stemming: bool = True) -> list[s
     return [stem(t) for t in out] if stemming else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else stem(x))
 
