@@ -1,18 +1,20 @@
 """Inverted index tables: postings, term and field statistics.
 
-postings carry the length of their field in their document, so scoring needs no join for it. Positions are those among
-the kept tokens. Stemming runs on the distinct terms only and is joined back.
+Postings carry the length of their field in their document, so scoring needs no join for it. Positions are those among
+the kept tokens.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.runtime import scratch
-from skein.functions.text import STOPWORDS, normalize, raw_tokens, stem_udf
+from skein.functions.runtime import scratch, spread
+from skein.functions.text import STOPWORDS, TOKEN, normalize_text, stem
 from skein.plans.model import FieldMapping
 
 
@@ -33,47 +35,68 @@ def field_text(df: DataFrame, name: str):
     return F.array_join(F.col(name).cast("array<string>"), " ") if kind.startswith("array") else F.col(name).cast("string")
 
 
-def token_rows(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False) -> DataFrame:
-    """(id, seq, field, pos, term) of the indexed text and keyword fields of docs (id, seq, fields...)."""
-    parts = None
-    for name, m in mappings.items():
-        if not m.index or m.type not in ("text", "keyword") or name not in docs.columns:
-            continue
-        text = field_text(docs, name)
-        if m.type == "keyword" or m.analyzer == "keyword":
-            value = F.trim(F.lower(text) if ascii_only else normalize(text))
-            rows = docs.select("id", "seq", F.lit(name).alias("field"), F.lit(0).alias("pos"), value.alias("term")).where("term IS NOT NULL AND term <> ''").withColumn("stems", F.lit(False))
-        else:
-            kept = F.filter(raw_tokens(text, ascii_only), lambda t: (F.length(t) > 1) & (~t.isin(*STOPWORDS) if stopwords else F.lit(True)))
-            rows = docs.select("id", "seq", F.lit(name).alias("field"), F.posexplode(kept).alias("pos", "term")).withColumn("stems", F.lit(True))
-        parts = rows if parts is None else parts.unionByName(rows)
-    if parts is None:
+def _analysed(names: list[str], whole: list[bool], stopwords: bool, stemming: bool, ascii_only: bool):
+    """Postings of each batch of (id, seq, texts...): a document's terms are counted where it is read, not shuffled."""
+    token = re.compile(TOKEN)
+
+    def run(batches):
+        stop = frozenset(STOPWORDS) if stopwords else frozenset()
+        stems: dict[str, str] = {}
+        for b in batches:
+            row, field, term, tf, dl, at = [], [], [], [], [], []
+            for k, name in enumerate(names):
+                for i, text in enumerate(b.column(2 + k).to_pylist()):
+                    if not text:
+                        continue
+                    text = text.lower() if ascii_only or text.isascii() else normalize_text(text)
+                    if whole[k]:
+                        words = [text.strip()] if text.strip() else []
+                    else:
+                        words = [t for t in token.findall(text) if len(t) > 1 and t not in stop]
+                        if stemming:
+                            words = [stems[t] if t in stems else stems.setdefault(t, stem(t)) for t in words]
+                            if len(stems) > 500_000:
+                                stems.clear()
+                    places: dict[str, list[int]] = {}
+                    for p, w in enumerate(words):
+                        places.setdefault(w, []).append(p)
+                    row += [i] * len(places)
+                    field += [name] * len(places)
+                    term += places
+                    at += places.values()
+                    dl += [len(words)] * len(places)
+            tf = [len(x) for x in at]
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(field, pa.string()), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(dl, pa.int64())],
+                names=["id", "seq", "field", "term", "tf", "positions", "dl"],
+            )
+
+    return run
+
+
+def posting_rows(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False) -> DataFrame:
+    """(id, seq, field, term, tf, positions, dl) of the indexed text and keyword fields of docs (id, seq, fields...), without a shuffle."""
+    used = [(n, m) for n, m in mappings.items() if m.index and m.type in ("text", "keyword") and n in docs.columns]
+    if not used:
         raise ValueError("no indexed field")
-    if not stemming:
-        return parts.drop("stems")
-    words = parts.where("stems").select("term").distinct().withColumn("stem", stem_udf("term")).where("stem <> term")
-    joined = parts.join(words, "term", "left")
-    return joined.select("id", "seq", "field", "pos", F.when(F.col("stems"), F.coalesce("stem", "term")).otherwise(F.col("term")).alias("term"))
-
-
-def build(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False, keep: bool = True) -> InvertedIndex:
-    """Index docs. Lengths are counted over (id, field), postings over (id, field, term): one shuffle by id serves both."""
-    tokens = token_rows(docs, mappings, stopwords, stemming, ascii_only)
-    lengths = tokens.groupBy("id", "field").agg(F.count(F.lit(1)).alias("dl"))
-    postings = (
-        tokens.groupBy("id", "field", "term").agg(F.first("seq").alias("seq"), F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        .join(lengths, ["id", "field"])
-    )
-    if keep:
-        postings = scratch(postings.repartition("field", "term").sortWithinPartitions("field", "term"), "postings")
+    kinds = dict(docs.dtypes)
+    texts = spread(docs.select("id", F.col("seq").cast("bigint").alias("seq"), *[field_text(docs, n).alias(f"f{i}") for i, (n, _) in enumerate(used)]))
+    run = _analysed([n for n, _ in used], [m.type == "keyword" or m.analyzer == "keyword" for _, m in used], stopwords, stemming, ascii_only)
+    return texts.mapInArrow(run, f"id {kinds['id']}, seq bigint, field string, term string, tf bigint, positions array<int>, dl bigint")
+
+
+def build(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False) -> InvertedIndex:
+    """Index docs: postings are shuffled once, to their place by (field, term), and written sorted."""
+    rows = posting_rows(docs, mappings, stopwords, stemming, ascii_only)
+    postings = scratch(rows.repartition("field", "term").sortWithinPartitions("field", "term"), "postings")
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("seq", F.col("positions")[0].alias("pos"))).alias("f")).select(
         "field", "term", "df", F.col("f.seq").alias("first_seq"), F.col("f.pos").alias("first_pos")
     )
-    lens = postings.groupBy("field", "id").agg(F.first("dl").alias("dl")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_len"))
-    if keep:
-        terms = scratch(terms, "terms")
-    rows = lens.collect()  # a row a field
-    return InvertedIndex(postings, terms, lens, docs.count(), {r.field: r.total_len / r.n_docs if r.n_docs else 1.0 for r in rows})
+    # every document of a field has one term at its first position
+    lens = postings.groupBy("field").agg(F.count(F.when(F.col("positions")[0] == 0, 1)).alias("n_docs"), F.sum("tf").alias("total_len"))
+    found = lens.collect()  # a row a field
+    return InvertedIndex(postings, scratch(terms, "terms"), lens, docs.count(), {r.field: r.total_len / r.n_docs if r.n_docs else 1.0 for r in found})
 
 
 def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:

@@ -73,7 +73,8 @@ class Engine:
 
     def replay(self, name: str, limit: int = 50) -> dict:
         """Send recent dead letters of an index through bulk again."""
-        letters = self.store.dead_letters(index=self.store.resolve(name), limit=limit)
+        letters = scratch(self.store.dead_letters(index=self.store.resolve(name), limit=limit), "letters")
+        self.store.mark_replayed(letters)
         rows = letters.select(F.monotonically_increasing_id().alias("seq"), "id", F.col("payload").alias("fields"))
         return self.bulk_frame(name, rows)
 
@@ -87,8 +88,13 @@ class Engine:
 
     def update_by_query(self, name: str, clauses: list[dict], changes: dict[str, Any], max_docs: int = 100) -> int:
         """Set fields of matching documents; their vectors are worked out anew when an embedded field changes."""
-        n = self.store.update_by_query(name, lambda d: filters.all_of(d, clauses), changes, max_docs)
-        return n
+        s = self.store.settings(name)
+
+        def embedded(rows: DataFrame) -> DataFrame:
+            text = any(isinstance(v, str) for v in changes.values())
+            return rows.withColumn("vector", embed_column(text_of_fields(rows), s.embedder, s.vector_dimensions)) if text and "vector" in rows.columns else rows
+
+        return self.store.update_by_query(name, lambda d: filters.all_of(d, clauses), changes, max_docs, embedded)
 
     # --- reading ---------------------------------------------------------------------------------------------------
     def _index(self, name: str) -> index.InvertedIndex:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.runtime import scratch, table
+from skein.functions.runtime import scratch, spread, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -648,9 +648,6 @@ def delete_docs(spark: SparkSession, d: str) -> DataFrame:
     return delete(o, o.where("id % 7 = 0"))
 
 
-_EVENT_DOCS = "event_id"
-
-
 def _event_docs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     fields = F.to_json(F.struct("event_type", F.when(F.col("event_id") % 5 == 0, F.col("value").cast("string")).alias("label"), F.when(F.col("event_id") % 11 != 0, F.col("value").cast("double")).alias("amount"), F.when(F.col("event_id") % 13 == 0, F.lit("oops")).alias("flag")))
@@ -674,7 +671,7 @@ def validate_docs(spark: SparkSession, d: str) -> DataFrame:
 def dlq_split(spark: SparkSession, d: str) -> DataFrame:
     from skein.sources.documents import split_valid
 
-    good, bad = split_valid(_event_docs(spark, d), _event_maps())
+    good, bad = split_valid(spread(_event_docs(spark, d)), _event_maps())
     return good.select(F.lit(False).alias("dead")).unionByName(bad.select(F.lit(True).alias("dead"))).groupBy("dead").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -692,6 +689,55 @@ def mapping_inference(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, v.type) for k, v in infer_mappings(_event_docs(spark, d)).items()], "name string, type string")
 
 
+@query("SELECT p_partkey AS id, CASE WHEN r <= 50 THEN 99.5 ELSE p_retailprice END AS price FROM (SELECT p.*, CASE WHEN p_size = 7 THEN row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) ELSE 1000000 END AS r FROM part p)")
+def update_by_query(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from skein.functions.runtime import shared_dir
+    from skein.sources.store import Store
+
+    store = Store(spark, f"{shared_dir(spark)}/update-{uuid.uuid4().hex}")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    store.upsert("parts", p)
+    store.update_by_query("parts", F.col("size") == 7, {"price": 99.5}, 50)
+    return store.docs("parts").select("id", "price")
+
+
+@query()
+def config_plan(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from skein.functions.runtime import shared_dir
+    from skein.plans.model import FieldMapping
+    from skein.sources.store import Store
+
+    store = Store(spark, f"{shared_dir(spark)}/config-{uuid.uuid4().hex}")
+    store.create("old")
+    store.create("kept", {"a": FieldMapping("text")})
+    actions = store.plan({"indexes": [{"name": "kept", "mappings": {"b": {"type": "number"}}}, {"name": "new"}]}, prune=True)
+    return spark.createDataFrame([(a["type"], a["target"]) for a in actions], "type string, target string")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 30 OFFSET 10")
+def job_listing(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators.jobs import listing
+
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("started_at"))
+    return listing(jobs, "O", 10, 30).select("id", "status")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1995-01-01' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'running' ELSE o_orderstatus END AS o_orderstatus FROM orders) GROUP BY 1")
+def job_sweep(spark: SparkSession, d: str) -> DataFrame:
+    from datetime import datetime
+
+    from skein.operators.jobs import sweep
+
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "running").otherwise(F.col("o_orderstatus"))
+    jobs = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    return sweep(jobs, datetime(1995, 1, 1)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- analytics ----------------------------------------------------------------------------------------------------------
 
 _LOG = "log AS (SELECT CASE WHEN event_type = 'click' THEN 'click' ELSE 'query' END AS type, event_type AS query, value AS took_ms, event_id % 5 AS hits_count, ts FROM events)"

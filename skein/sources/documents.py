@@ -147,12 +147,13 @@ def enrich(docs: DataFrame) -> DataFrame:
     return out.withColumn("word_count", F.coalesce(F.col("word_count"), n) if has("word_count") else n)
 
 
-def issues(doc: Column, mappings: dict[str, FieldMapping], allow_unknown: bool = True) -> Column:
-    """ARRAY of what is wrong with the fields of a JSON text under the mappings."""
+def issues(doc: Column, mappings: dict[str, FieldMapping], allow_unknown: bool = True, parsed: Column | None = None) -> Column:
+    """ARRAY of what is wrong with the fields of a JSON text under the mappings. parsed: the same text as VARIANT, if there is one."""
+    parsed = F.try_parse_json(doc) if parsed is None else parsed
     checks = []
     for name, m in mappings.items():
         text = F.get_json_object(doc, f"$['{name}']")
-        variant = F.try_variant_get(F.try_parse_json(doc), f'$["{name}"]', "variant")
+        variant = F.try_variant_get(parsed, f'$["{name}"]', "variant")
         shown = F.schema_of_variant(variant)
         number = shown.rlike("^(BIGINT|DOUBLE|DECIMAL|TINYINT|SMALLINT|INT|FLOAT)")
         ok = {
@@ -171,6 +172,6 @@ def issues(doc: Column, mappings: dict[str, FieldMapping], allow_unknown: bool =
 
 def split_valid(rows: DataFrame, mappings: dict[str, FieldMapping], fields: str = "fields", allow_unknown: bool = True) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others as dead letters (id, payload, error, at)."""
-    checked = rows.withColumn("_issues", issues(F.col(fields), mappings, allow_unknown))
+    checked = rows.withColumn("_v", F.try_parse_json(F.col(fields))).withColumn("_issues", issues(F.col(fields), mappings, allow_unknown, F.col("_v"))).drop("_v")
     bad = checked.where(F.size("_issues") > 0).select("id", F.col(fields).alias("payload"), F.array_join("_issues", "; ").alias("error"), F.current_timestamp().alias("at"))
     return checked.where(F.size("_issues") == 0).drop("_issues"), bad

@@ -151,8 +151,11 @@ class Store:
         m = self._read(f"{name}/manifest.json")
         return m["version"] if old is None else self._commit(name, old.limit(0), m["next_seq"])
 
-    def update_by_query(self, name: str, condition, changes: dict[str, Any], max_docs: int = 100) -> int:
-        """Set fields of the first max_docs (at most 1000) matching documents in order; they move to the end. Returns how many."""
+    def update_by_query(self, name: str, condition, changes: dict[str, Any], max_docs: int = 100, also=None) -> int:
+        """Set fields of the first max_docs (at most 1000) matching documents in order; they move to the end. Returns how many.
+
+        also: a function of the changed rows, for columns that depend on others.
+        """
         docs = self.docs(name)
         if docs is None:
             return 0
@@ -160,7 +163,8 @@ class Store:
         n = hit.count()
         if n:
             base = hit.agg(F.min("seq")).first()[0]
-            self.upsert(name, hit.withColumns({k: F.lit(v) for k, v in changes.items()}).withColumn("seq", F.col("seq") - F.lit(base)))
+            new = hit.withColumns({k: F.lit(v).cast(docs.schema[k].dataType) if k in docs.columns else F.lit(v) for k, v in changes.items()})
+            self.upsert(name, (also(new) if also else new).withColumn("seq", F.col("seq") - F.lit(base)))
         return n
 
     def get(self, name: str, doc_id: Any) -> DataFrame:
@@ -205,9 +209,18 @@ class Store:
         out = rows.select("id", "payload", "error", "at").withColumns({"source": F.lit(source), "index": F.lit(index), "dt": F.to_date("at")})
         out.write.mode("append").partitionBy("dt").parquet(f"{self.root}/_dead_letter")
 
+    def mark_replayed(self, letters: DataFrame) -> None:
+        """Record that dead letters were sent again."""
+        letters.select("id", "at", F.current_timestamp().alias("replayed_at")).write.mode("append").parquet(f"{self.root}/_replayed")
+
     def dead_letters(self, source: str | None = None, index: str | None = None, limit: int = 50) -> DataFrame:
-        """Newest first, at most 200."""
+        """Newest first, at most 200, with the last time each was replayed."""
         rows = self.spark.read.parquet(f"{self.root}/_dead_letter")
+        if self._fs.exists(self._path(f"{self.root}/_replayed")):
+            done = self.spark.read.parquet(f"{self.root}/_replayed").groupBy("id", "at").agg(F.max("replayed_at").alias("replayed_at"))
+            rows = rows.join(done, ["id", "at"], "left")
+        else:
+            rows = rows.withColumn("replayed_at", F.lit(None).cast("timestamp"))
         rows = rows.where(F.col("source") == source) if source else rows
         rows = rows.where(F.col("index") == index) if index else rows
         return rows.orderBy(F.desc("at"), "id").limit(min(limit, 200))

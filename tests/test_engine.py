@@ -68,6 +68,14 @@ def test_documents_and_snapshots(engine):
     assert s.resolve("store") == "shop"
 
 
+def test_replay_and_embedding_anew(engine):
+    assert engine.replay("shop")["failed"] == 1
+    assert engine.store.dead_letters(index="shop").where("replayed_at IS NOT NULL").count() >= 1
+    before = engine.store.get("shop", "r3").first()["vector"]
+    engine.update_by_query("shop", [{"field": "price", "value": 120}], {"title": "Winter coat"})
+    assert engine.store.get("shop", "r3").first()["vector"] != before
+
+
 def test_config(engine):
     spec = {"indexes": [{"name": "shop", "mappings": {"brand": {"type": "keyword"}}}, {"name": "new", "settings": {"rrf_k": 10}}]}
     actions = engine.store.plan(spec)
