@@ -36,6 +36,7 @@ MIN_FOREIGN = 0.85
 SAMPLE_PAGES = 1500
 
 _OPAQUE = re.compile(r"://|^www\.|@|^[#＃]|\d")
+_QUOTED = re.compile(r"„[^“”]*[“”]|“[^”]*”|«[^»]*»|\"[^\"]*\"")
 _SPAN = max(WIDTHS)
 
 
@@ -50,8 +51,13 @@ class Words(dict):
 
 
 def plain(line: str, known: Words) -> list[str]:
-    """The line's words in lower case, without addresses, hashtags and words with digits."""
-    return list(filter(None, map(known.__getitem__, line.lower().split())))
+    """The line's words in lower case, without addresses, hashtags, words with digits, and quotations where enough is left without them."""
+    line = line.lower()
+    if any(q in line for q in "„«“\""):
+        rest = list(filter(None, map(known.__getitem__, _QUOTED.sub(" ", line).split())))
+        if len(rest) >= MIN_WORDS:
+            return rest
+    return list(filter(None, map(known.__getitem__, line.split())))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -126,21 +126,32 @@ def sketches(shingles: list[np.ndarray]) -> np.ndarray:
     return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _sketch_batches(min_words: int, piece: int = 500):
+def _sketch_batches(min_words: int, most: int = 400_000):
+    """Sketches of pages, worked out for about most word sequences at a time."""
+
+    def flushed(ids, classes, sets):
+        sig = [x.tobytes() for x in sketches(sets)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary()), pa.array(sig, pa.binary())], names=["page_id", "cls", "sig"])
+
     def run(batches):
         known = WordHash()
         for b in batches:
-            for lo in range(0, b.num_rows, piece):
-                ids, classes, sets = [], [], []
-                for i, title, text in zip(*(c.to_pylist() for c in b.slice(lo, piece).columns), strict=True):
-                    words, n = page_words(title, text)
-                    if n >= min_words:
-                        ids.append(i)
-                        classes.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-                        sets.append(shingle_hashes(known.of(words)))
-                if ids:
-                    sig = [x.tobytes() for x in sketches(sets)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.binary()), pa.array(sig, pa.binary())], names=["page_id", "cls", "sig"])
+            held: tuple[list, list, list] = ([], [], [])
+            size = 0
+            for row in range(b.num_rows):
+                i, title, text = (b.column(c)[row].as_py() for c in range(3))
+                words, n = page_words(title, text)
+                if n < min_words:
+                    continue
+                held[0].append(i)
+                held[1].append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+                held[2].append(shingle_hashes(known.of(words)))
+                size += len(words)
+                if size >= most:
+                    yield flushed(*held)
+                    held, size = ([], [], []), 0
+            if held[0]:
+                yield flushed(*held)
 
     return run
 
