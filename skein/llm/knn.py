@@ -83,13 +83,14 @@ def _search(k: int, candidates: int, min_cos: float, dims: int, rows: int = 256)
         if same:
             cos[np.arange(len(q)), q] = -2
         if n > candidates:
-            # footrule = constant - 2 * shared, so the nearest are those of the largest overlap
-            far = np.argpartition(shared, n - candidates, axis=1)[:, : n - candidates]
-            np.put_along_axis(cos, far, -2, axis=1)
-        top = np.argpartition(-cos, min(k, n) - 1, axis=1)[:, :k] if n > k else np.tile(np.arange(n), (len(q), 1))
-        value = np.take_along_axis(cos, top, 1)
-        row, col = np.nonzero(value >= max(min_cos - 1e-6, -1.5))
-        return q[row], top[row, col], value[row, col]
+            # footrule = constant - 2 * shared, so the nearest are those of the largest overlap; all that tie with the last stay
+            last = np.partition(shared, n - candidates, axis=1)[:, n - candidates, None]
+            cos[shared < last] = -2
+        least = np.full((len(q), 1), max(min_cos - 1e-6, -1.5), np.float32)
+        if n > k:
+            least = np.maximum(least, np.partition(cos, n - k, axis=1)[:, n - k, None])
+        row, col = np.nonzero(cos >= least)
+        return q[row], col, cos[row, col]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
