@@ -12,14 +12,27 @@ def last_days(log: DataFrame, days: int) -> DataFrame:
     return log.join(F.broadcast(dates), "dt", "left_semi")
 
 
+def _at_rank(rows: DataFrame, name: str, share: float) -> DataFrame:
+    """One row: the value of rank floor(share * n) of a numeric column.
+
+    Counts by whole number (as many rows as the largest value at most) say in which unit it lies; only that unit's distinct
+    values are then put in order.
+    """
+    unit = F.floor(name).alias("unit")
+    counts = rows.groupBy(unit).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c").alias("n"))
+    sums = counts.withColumn("upto", F.sum("c").over(Window.orderBy("unit"))).crossJoin(F.broadcast(n))
+    hit = sums.where(F.col("upto") > F.floor(share * F.col("n"))).agg(F.min(F.struct("unit", (F.floor(share * F.col("n")) - F.col("upto") + F.col("c")).alias("rest"))).alias("h")).select("h.unit", "h.rest")
+    values = rows.withColumn("unit", F.floor(name)).join(F.broadcast(hit), "unit").groupBy(name, "rest").agg(F.count(F.lit(1)).alias("c"))
+    placed = values.withColumn("upto", F.sum("c").over(Window.orderBy(name)))
+    return placed.where(F.col("upto") > F.col("rest")).agg(F.min(name).alias("p95_ms"))
+
+
 def summary(log: DataFrame) -> DataFrame:
     """One row: queries, clicks, average and 95th percentile of took_ms (the value of rank floor(0.95 n)), zero-result queries."""
     q = log.where("type = 'query'")
-    per = q.groupBy("took_ms").agg(F.count(F.lit(1)).alias("c"))
     n = q.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("took_ms").alias("avg_ms"), F.count(F.when(F.col("hits_count") == 0, 1)).alias("n_zero"))
-    # rank within the counted values: each range partition is summed, then the partitions' sums are added up
-    at = per.withColumn("upto", F.sum("c").over(Window.orderBy("took_ms")))
-    p95 = at.crossJoin(F.broadcast(n.select("n_queries"))).where(F.col("upto") > F.floor(0.95 * F.col("n_queries"))).agg(F.min("took_ms").alias("p95_ms"))
+    p95 = _at_rank(q.select("took_ms").where("took_ms IS NOT NULL"), "took_ms", 0.95)
     clicks = log.where("type = 'click'").agg(F.count(F.lit(1)).alias("n_clicks"))
     return n.crossJoin(p95).crossJoin(clicks).select("n_queries", "n_clicks", F.coalesce("avg_ms", F.lit(0.0)).alias("avg_ms"), F.coalesce(F.col("p95_ms").cast("double"), F.lit(0.0)).alias("p95_ms"), "n_zero")
 

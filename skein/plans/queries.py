@@ -254,7 +254,7 @@ def _index(spark: SparkSession, d: str, fields: tuple[str, ...] = ("text",)):
     from skein.operators.index import build
     from skein.plans.model import FieldMapping
 
-    key = (id(spark), d, fields)
+    key = (spark.sparkContext.applicationId, d, fields)
     if key not in _BUILT:
         maps = {f: FieldMapping("keyword" if f in ("source", "lang") else "text") for f in fields}
         _BUILT[key] = build(_docs(spark, d), maps, **_PLAIN, ascii_only=True)
