@@ -127,7 +127,7 @@ class ByteCnn:
 
         return self._descend(draw, steps, rate, rng)
 
-    def refit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 0.005, seed: int = 6) -> ByteCnn:
+    def refit(self, x: np.ndarray, y: np.ndarray, steps: int = 700, batch: int = 96, rate: float = 0.003, seed: int = 6) -> ByteCnn:
         """Go on with windows x of classes y; each class is drawn as often as any other."""
         rng = np.random.default_rng(seed)
         weight = 1.0 / np.bincount(y, minlength=len(self.languages))[y]
@@ -144,6 +144,7 @@ class ByteCnn:
     def _descend(self, draw, steps: int, rate: float, rng: np.random.Generator) -> ByteCnn:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        mean: dict[str, np.ndarray] = {}
         for step in range(1, steps + 1):
             g = self._gradients(*draw(), rng)
             for k, d in g.items():
@@ -152,6 +153,11 @@ class ByteCnn:
                 scale = rate * min(1.0, 2 * (1 - step / (steps + 1)))
                 self.p[k] = (self.p[k] - scale * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             self.p["w"] *= self.mask
+            if 2 * step > steps:
+                # the mean of the second half's weights depends less on the order of the draws
+                for k, v in self.p.items():
+                    mean[k] = mean.get(k, 0) + v / (steps - steps // 2)
+        self.p = {k: v.astype(np.float32) for k, v in mean.items()}
         return self
 
     @staticmethod
