@@ -33,6 +33,8 @@ MAX_SAMPLES = 2000
 MIN_WORDS = 5
 MIN_CONFIDENCE = 0.6
 MIN_FOREIGN = 0.85
+#: What a line of fewer than SHORT_LINE words needs instead; menus and the like are hardly more than names.
+MIN_FOREIGN_SHORT, SHORT_LINE = 0.95, 20
 SAMPLE_PAGES = 1500
 
 _OPAQUE = re.compile(r"://|^www\.|@|^[#＃]|\d")
@@ -273,7 +275,7 @@ def settle(ids: list, sizes: list[int], found: list[tuple[str | None, float]]) -
             end += 1
         main = max(sorted(weight), key=weight.get) if weight else None
         for k in range(start, end):
-            if found[k][0] != main and found[k][1] < MIN_FOREIGN:
+            if found[k][0] != main and found[k][1] < (MIN_FOREIGN if sizes[k] >= SHORT_LINE else MIN_FOREIGN_SHORT):
                 out[k] = (None, 0.0)
         start = end
     return out
