@@ -155,7 +155,8 @@ class SharedSpans:
     def longest(self, max_levels: int = 24) -> DataFrame:
         """doc_id, window_words: the longest level (span, 2 span, 4 span, ...) at which a window of the document is shared.
 
-        The loop ends when no window survives; max_levels only bounds it at documents of span * 2^24 words.
+        The loop ends when no window survives; max_levels only bounds it at documents of span * 2^24 words. It runs over one
+        text of each class; a text with copies is shared as a whole, so all its copies have the largest level it can hold.
         """
         level, width, found = self.level, self.span, []
         for _ in range(max_levels):
@@ -166,8 +167,10 @@ class SharedSpans:
             width *= 2
             if level.isEmpty():
                 break
-        out = found[0]
-        for x in found[1:]:
+        doublings = f"shiftleft(1, least(length(bin(n_words div {self.span})), {max_levels}) - 1)"
+        copied = self.base.where(F.col("n_words") >= self.span).join(self.classes.where("copies > 1").select("whole"), "whole", "left_semi")
+        out = copied.select("doc_id", F.expr(f"{self.span} * {doublings}").alias("window_words"))
+        for x in found:
             out = out.unionByName(x)
         return out.groupBy("doc_id").agg(F.max("window_words").alias("window_words"))
 

@@ -118,6 +118,13 @@ def test_spans_against_brute_force(spark):
     assert spans.SharedSpans(df.limit(0)).spans().count() == 0
 
 
+def test_longest_of_copies(spark):
+    text = lambda a, n: " ".join(f"w{x}" for x in range(a, a + n))
+    docs = [(1, text(0, 130)), (2, text(0, 130)), (3, text(0, 130).replace(" ", "\n")), (4, text(900, 29)), (5, text(900, 29)), (6, text(500, 60)), (7, text(500, 60)), (8, text(90, 40) + " " + text(2000, 200)), (9, text(5000, 99))]
+    s = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.window_words for r in s.longest().collect()} == {1: 120, 2: 120, 3: 120, 6: 60, 7: 60, 8: 30}
+
+
 def test_window_hash_depends_on_words_only():
     w = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
     assert (spans.window_hashes(np.concatenate([w[:7], w]), 15)[7:] == spans.window_hashes(w, 15)).all()
