@@ -9,34 +9,38 @@ from skein.functions.html import host_allowed, path_allowed, robots_allowed
 from skein.functions.runtime import scratch
 from skein.functions.text import normalize_url, path_of
 
-MAX_DEPTH, MAX_PAGES = 8, 500
 
-
-def crawl(pages: DataFrame, seeds: DataFrame, hosts: list[str] | None = None, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, allow: list[str] = (), deny: list[str] = (), robots: list[tuple[str, bool]] = ()) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, hosts: list[str] | None = None, max_depth: int | None = None, max_pages: int | None = None, allow: list[str] = (), deny: list[str] = (), robots: list[tuple[str, bool]] = ()) -> DataFrame:
     """(url, depth) of the pages reached from seeds (url). Links are followed from pages of status 2xx and 3xx.
 
-    Each level joins the frontier to the pages and leaves out what has been seen; levels are tables in the shared folder. At
-    most max_pages pages are visited, in order of depth and address.
+    Each level joins the frontier to the pages and leaves out what has been seen; levels are tables in the shared folder.
+    Of a page fetched several times the links of all its rows are followed. The crawl ends when no new address is left;
+    max_depth and max_pages, if given, are budgets, spent in order of depth and address.
     """
-    known = pages.select(normalize_url(F.col("url")).alias("url"), "status", "links").where("url IS NOT NULL").dropDuplicates(["url"])
+    known = pages.select(normalize_url(F.col("url")).alias("url"), "status", "links").where("url IS NOT NULL")
 
     def admitted(urls: DataFrame) -> DataFrame:
         ok = path_allowed(path_of(F.col("url")), allow, deny) & robots_allowed(path_of(F.col("url")), list(robots))
         return urls.where(F.col("url").isNotNull() & (host_allowed(F.col("url"), hosts) if hosts else F.lit(True)) & ok)
 
     frontier = scratch(admitted(seeds.select(normalize_url(F.col("url")).alias("url"))).distinct(), "frontier")
-    seen, out, left = frontier, None, max_pages
-    for depth in range(max_depth + 1):
-        visited = scratch(known.join(frontier, "url", "left_semi").orderBy("url").limit(left).withColumn("depth", F.lit(depth)), "visited")
+    seen, out, left, depth = frontier, None, max_pages, 0
+    while True:
+        fetched = scratch(known.join(frontier, "url", "left_semi"), "fetched")
+        urls = fetched.select("url").distinct()
+        if left is not None:
+            urls = urls.orderBy("url").limit(left)
+        visited = scratch(urls.withColumn("depth", F.lit(depth)), "visited")
         out = visited if out is None else out.unionByName(visited)
-        left -= visited.count()
-        if left <= 0 or depth == max_depth:
+        if left is not None:
+            left -= visited.count()
+        if left == 0 or depth == max_depth:
             break
-        links = visited.where("status >= 200 AND status < 400").select(F.explode("links").alias("link")).select(normalize_url(F.col("link")).alias("url")).distinct()
+        links = fetched.where("status >= 200 AND status < 400").select(F.explode("links").alias("link")).select(normalize_url(F.col("link")).alias("url")).distinct()
         frontier = scratch(admitted(links).join(seen, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen, depth = seen.unionByName(frontier), depth + 1
     return out.select("url", "depth")
 
 

@@ -164,6 +164,14 @@ def test_crawl(spark):
     assert crawl.crawl(pages, pages.limit(1), max_pages=2).count() == 2
 
 
+def test_crawl_has_no_default_bounds(spark):
+    rows = [(f"http://a/{i:03}", 200, []) for i in range(600)] + [("http://a/000", 200, ["http://a/c0"])] + [(f"http://a/c{i}", 200, [f"http://a/c{i + 1}"]) for i in range(12)]
+    pages = spark.createDataFrame(rows, "url string, status int, links array<string>")
+    got = [(r.url, r.depth) for r in crawl.crawl(pages, pages.where("url NOT LIKE '%c%'")).collect()]
+    assert len(got) == 612 and dict(got)["http://a/c11"] == 12
+    assert crawl.crawl(pages, pages.where("url NOT LIKE '%c%'"), max_depth=2).count() == 602
+
+
 def _brute(points, km):
     out = set()
     for i, (a, x, y) in enumerate(points):
