@@ -7,10 +7,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYWORDS, MAX_HEADINGS, MAX_TEXT, MAX_SITEMAP = 40, 30, 200_000, 2000
+MAX_KEYWORDS, MAX_HEADINGS, MAX_TEXT = 40, 30, 200_000
 _HIDDEN = {"script", "style", "noscript", "template", "svg"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "main", "aside"}
 
@@ -96,8 +96,18 @@ def extract_column(url: Column, html: Column) -> Column:
     return run(url, html)
 
 
-def sitemap_locations(xml: Column) -> Column:
-    return F.slice(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)), 1, MAX_SITEMAP)
+def sitemap_locations(xml: Column, most: int | None = None) -> Column:
+    """All addresses of a sitemap, or its first most ones."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
+    return found if most is None else F.slice(found, 1, most)
+
+
+def sitemaps(urls: DataFrame, size: int = 1000) -> DataFrame:
+    """(site_name, part, xml) of distinct (site_name, url): a site's addresses are dealt by hash to as many parts of about size as they need."""
+    counted = urls.groupBy(F.col("site_name").alias("site")).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    dealt = urls.join(counted, F.col("site_name").eqNullSafe(F.col("site"))).withColumn("part", F.pmod(F.xxhash64("url"), F.col("parts")))
+    entries = F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))
+    return dealt.groupBy("site_name", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(entries, ""), F.lit("</urlset>")).alias("xml"))
 
 
 def robots_rules(text: str, agent: str) -> tuple[list[tuple[str, bool]], list[str]]:

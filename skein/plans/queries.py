@@ -860,10 +860,10 @@ def robots_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
-    from skein.functions.html import sitemap_locations
+    from skein.functions.html import sitemap_locations, sitemaps
 
-    xml = table(spark, d, "crawled_pages").groupBy("site_name").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
-    return xml.select("site_name", F.explode(sitemap_locations(F.col("xml"))).alias("url"))
+    urls = table(spark, d, "crawled_pages").where("url IS NOT NULL").select("site_name", "url").distinct()
+    return sitemaps(urls).select("site_name", F.explode(sitemap_locations(F.col("xml"))).alias("url"))
 
 
 # --- embeddings, pixels, hashes, streams --------------------------------------------------------------------------------

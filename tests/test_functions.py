@@ -86,6 +86,17 @@ def test_html_and_robots(spark):
     assert xml == ["http://a", "http://b"]
 
 
+def test_sitemaps_keep_every_address(spark):
+    rows = [(None, f"http://a/{i}") for i in range(4500)] + [("s", f"http://b/{i}") for i in range(3)]
+    maps = html.sitemaps(spark.createDataFrame(rows, "site_name string, url string")).cache()
+    assert maps.where("site_name IS NULL").count() == 5 and maps.where("site_name = 's'").count() == 1
+    got = maps.select("site_name", F.explode(html.sitemap_locations(F.col("xml")))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+    long = "".join(f"<loc>http://a/{i}</loc>" for i in range(2500))
+    x = spark.createDataFrame([(long,)], "x string").select(F.size(html.sitemap_locations(F.col("x"))), F.size(html.sitemap_locations(F.col("x"), 7))).first()
+    assert tuple(x) == (2500, 7)
+
+
 def test_messages():
     assert messages.format_message("OK_SEARCH", total=1, tookMs=2)["message"] == "Search completed. Found 1 matching document in 2ms."
     assert messages.format_message("OK_SEARCH", total=0)["message"] == "Search completed. No matching documents found."
