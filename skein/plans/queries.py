@@ -640,6 +640,20 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return upsert(o.where("id <= 1000"), new).select("id", "price")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders
+ UNION ALL SELECT -1 - o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 = 0""")
+def upsert_orders(spark: SparkSession, d: str) -> DataFrame:
+    """All orders; the new rows are a third of the ids, half of them in two versions, and ids not yet present for a tenth."""
+    from skein.operators.index import upsert
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"))
+    later = lambda rows, n, price: rows.withColumns({"price": price, "seq": F.col("seq") + n * 10_000_000_000})
+    changed = later(o.where("id % 3 = 0"), 2, F.col("price") * 2)
+    outdated = later(o.where("id % 6 = 0"), 1, F.lit(0.0))
+    added = o.where("id % 10 = 0").withColumn("id", -1 - F.col("id"))
+    return upsert(o, changed.unionByName(outdated).unionByName(added)).select("id", "price")
+
+
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0")
 def delete_docs(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators.index import delete

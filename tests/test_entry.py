@@ -14,3 +14,9 @@ def test_core_stands_alone(monkeypatch):
     monkeypatch.setitem(sys.modules, "skein.llm", None)
     importlib.reload(entry)
     assert "bm25_multi_term" in entry.queries() and "p5_found" not in entry.queries() and "p1_found" in entry.queries()
+
+
+def test_upsert_orders_takes_the_whole_table(spark, tmp_path):
+    spark.range(1, 61).selectExpr("id AS o_orderkey", "double(id) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.price for r in entry.queries()["upsert_orders"](spark, str(tmp_path)).collect()}
+    assert got == {i: i * 2.0 if i % 3 == 0 else float(i) for i in range(1, 61)} | {-1 - i: float(i) for i in range(10, 61, 10)}
