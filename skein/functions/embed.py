@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,20 +38,29 @@ def _grams(t: str) -> list[str]:
     return [p[i : i + 3] for i in range(len(p) - 2)]
 
 
+@lru_cache(200_000)
+def _feature(key: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the four salted hashes of a feature lie, and their signed weights for a weight of 1."""
+    hashes = [_fnv(key, (salt * _GOLDEN) & 0xFFFFFFFF) for salt in range(4)]
+    return np.array([h % dims for h in hashes]), np.array([1.0 if h & 1 else -1.0 for h in hashes])
+
+
+_SALTS = np.arange(1.0, 5.0)
+
+
 def local_embed(text: str, dims: int = 384, synonyms: Callable[[str], list[str]] | None = None) -> list[float]:
     """Signed feature hashing of unigrams, character trigrams and bigrams with four salts; unit length, or zeros without tokens."""
     dims = max(1, min(int(dims), 1536))
-    vec = np.zeros(dims)
     words = tokenize(split_compound(text))
     if not words:
-        return vec.tolist()
+        return np.zeros(dims).tolist()
     spread = [x for w in words for x in (w, *(stem(s.lower()) for s in (synonyms(w) if synonyms else ())))]
     features = [("u:" + w, 1.0) for w in spread] + [("c:" + g, 0.35) for w in spread for g in _grams(w)]
     features += [(f"b:{a}_{b}", 0.6) for a, b in zip(words, words[1:], strict=False)]
-    for key, weight in features:
-        for salt in range(4):
-            h = _fnv(key, (salt * _GOLDEN) & 0xFFFFFFFF)
-            vec[h % dims] += (1 if h & 1 else -1) * weight / (salt + 1)
+    found = [_feature(key, dims) for key, _ in features]
+    weights = np.array([weight for _, weight in features])[:, None]
+    values = np.array([signs for _, signs in found]) * weights / _SALTS
+    vec = np.bincount(np.concatenate([at for at, _ in found]), values.ravel(), dims)
     n = math.sqrt(float(vec @ vec)) or 1.0
     return (vec / n).tolist()
 
@@ -70,29 +80,51 @@ def _double_hash(s: str, seed: int) -> float:
     return h
 
 
+@lru_cache(100_000)
+def _part(part: str, dims: int, heads: int) -> tuple[list[int], list[float]]:
+    """Where a part of a word lies in each head, and its signs."""
+    size, at, sign = dims // heads, [], []
+    for head in range(heads):
+        h = _double_hash(part, _to_int32(float((head * 0x45D9F3B) ^ _GOLDEN)))
+        at.append((head * size + int(math.fmod(abs(h), size))) % dims)
+        sign.append(1.0 if _to_int32(h) & 1 else -1.0)
+    return at, sign
+
+
+@lru_cache(30_000)
+def _heads(word: str, dims: int, heads: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the word, its stem and its 2- and 3-grams lie in each head, their signs, and the heads' divisors."""
+    parts = [word, stem(word)]
+    for i in range(len(word) - 1):
+        parts.append(word[i : i + 2])
+        if i < len(word) - 2:
+            parts.append(word[i : i + 3])
+    found = [_part(p, dims, heads) for p in parts]
+    return np.array([i for at, _ in found for i in at]), np.array([x for _, sign in found for x in sign]), np.tile(np.arange(1.0, heads + 1), len(parts))
+
+
+@lru_cache(200_000)
+def _pair(a: str, b: str, dims: int) -> tuple[int, float]:
+    h = _double_hash(f"{a}_{b}", 0x811C9DC5)
+    return int(math.fmod(abs(h), dims)), (1 if _to_int32(h) & 1 else -1) * 0.85
+
+
 def micro_embed(text: str, dims: int = 384) -> list[float]:
     """Six hashed heads over words and their 2- and 3-grams with a positional weight, and bigrams; unit length."""
     clean = (text or "").strip()
-    vec = np.zeros(dims)
     words = list(dict.fromkeys([*tokenize(split_compound(clean), True, False), *re.findall(r"[^\W_]+", clean)]))
     if not words:
-        return vec.tolist()
-    heads, size = 6, dims // 6
+        return np.zeros(dims).tolist()
+    where, values = [], []
     for pos, w in enumerate(words):
-        weight = 1.0 + 0.15 * math.sin(pos / 10)
-        parts = [w, stem(w)]
-        for i in range(len(w) - 1):
-            parts.append(w[i : i + 2])
-            if i < len(w) - 2:
-                parts.append(w[i : i + 3])
-        for p in parts:
-            for head in range(heads):
-                h = _double_hash(p, _to_int32(float((head * 0x45D9F3B) ^ _GOLDEN)))
-                at = head * size + int(math.fmod(abs(h), size))
-                vec[at % dims] += (1 if _to_int32(h) & 1 else -1) * weight / (head + 1)
+        at, sign, divisor = _heads(w, dims)
+        where.append(at)
+        values.append(sign * (1.0 + 0.15 * math.sin(pos / 10)) / divisor)
         if pos < len(words) - 1:
-            h = _double_hash(f"{w}_{words[pos + 1]}", 0x811C9DC5)
-            vec[int(math.fmod(abs(h), dims))] += (1 if _to_int32(h) & 1 else -1) * 0.85
+            i, x = _pair(w, words[pos + 1], dims)
+            where.append([i])
+            values.append([x])
+    vec = np.bincount(np.concatenate(where), np.concatenate(values), dims)
     n = math.sqrt(float(vec @ vec)) or 1.0
     return (vec / n).tolist()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -93,6 +94,7 @@ def _replace(w: str, rules) -> str:
     return w
 
 
+@lru_cache(100_000)
 def stem(w: str) -> str:
     if len(w) < 3:
         return w

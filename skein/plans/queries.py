@@ -885,16 +885,18 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embed_local(spark: SparkSession, d: str) -> DataFrame:
-    from skein.functions.embed import embed_column
+    from skein.functions.embed import embed_column, text_of_fields
 
-    return _docs(spark, d).select("id", embed_column(F.coalesce("title", F.lit("")), "local", 64).alias("vec"))
+    docs = spread(_docs(spark, d).select("id", "title", "text"))
+    return docs.select("id", embed_column(text_of_fields(docs), "local").alias("vec"))
 
 
 @query()
 def embed_micro(spark: SparkSession, d: str) -> DataFrame:
-    from skein.functions.embed import embed_column
+    from skein.functions.embed import embed_column, text_of_fields
 
-    return _docs(spark, d).select("id", embed_column(F.coalesce("title", F.lit("")), "micro-transformer", 48).alias("vec"))
+    docs = spread(_docs(spark, d).select("id", "title", "text"))
+    return docs.select("id", embed_column(text_of_fields(docs), "micro-transformer").alias("vec"))
 
 
 @query()
