@@ -44,6 +44,17 @@ def test_repeated_lines(site, spark):
     assert sitelines.repeated_lines(site.limit(0)).count() == 0
 
 
+def test_parts_are_the_features_summed():
+    pages = [("Story", f"Home | About us | Contact\nStory\nThe office number {i} of the old town keeps a long register of every boat that calls.\n© 20{i:02d} Some Press") for i in range(30)]
+    weights = body.train(pages)
+    known, tokens = body.Scores(weights), body.Tokens()
+    for line in pages[3][1].split("\n"):
+        own, seen, shape = body.features_of(line, line, tokens)
+        got = known.parts(line, line)
+        assert got[0] == pytest.approx(sum(weights.get(f, 0) for f in own)) and got[1] == pytest.approx(sum(weights.get(f, 0) for f in seen)) and got[3] == shape
+    assert body.train([]) == {} and body.classify(None, "\n \n", body.Scores({})) == ([], [], [])
+
+
 def test_furniture(site):
     got = {tuple(r) for r in body.furniture_lines(site).where("page_id < 30").collect()}
     assert got == {(i, n) for i in range(30) for n in (0, 4, 5)}
