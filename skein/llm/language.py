@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.runtime import spread
+from skein.functions.runtime import scratch, spread
 from skein.llm.common import bounded_sample
 from skein.llm.langlabels import language_of
 
@@ -214,11 +214,14 @@ def train(samples: DataFrame, pages: DataFrame | None = None, limit: int = MAX_S
     if pages is None:
         return model
     rows = bounded_sample(pages.where("text IS NOT NULL").select("page_id", "lang", "text"), "page_id", sample_pages)
-    return learn_from_pages(model, [(r.lang, r.text) for r in rows])
+    return learn_from_pages(model, [(r.lang, r.text) for r in rows], pairs)
 
 
-def learn_from_pages(model: ByteCnn, pages: list[tuple[str | None, str]]) -> ByteCnn:
-    """Go on with the lines of pages (label, text) that the network finds to be in the language of their label."""
+def learn_from_pages(model: ByteCnn, pages: list[tuple[str | None, str]], samples: list[tuple[str, str]]) -> ByteCnn:
+    """Go on with the lines of pages (label, text) that the network finds to be in the language of their label.
+
+    A language without such a line is represented by its labelled texts, samples (text, language).
+    """
     known = Words()
     texts, classes = [], []
     for label, text in pages:
@@ -235,8 +238,11 @@ def learn_from_pages(model: ByteCnn, pages: list[tuple[str | None, str]]) -> Byt
             if len(words) >= MIN_WORDS and (lang in (None, named) or sure < 0.8):
                 texts.append(" ".join(words).encode("utf-8", "replace"))
                 classes.append(model.languages.index(named))
-    if len(set(classes)) < len(model.languages):
-        return model
+    seen = {model.languages[c] for c in classes}
+    for text, lang in samples:
+        if lang not in seen:
+            texts.append(" ".join(plain(text, known)).encode("utf-8", "replace"))
+            classes.append(model.languages.index(lang))
     x, of = windows(texts)
     return model.refit(x, np.array(classes)[of])
 
@@ -308,8 +314,35 @@ def line_languages(pages: DataFrame, model: ByteCnn, min_words: int = 1) -> Data
     return spread(pages).mapInArrow(run, "page_id long, line_no int, words int, lang string, confidence double, label string")
 
 
+def page_guesses(pages: DataFrame, model: ByteCnn) -> DataFrame:
+    """(page_id, lang, confidence): the network's best language of each page's whole text; null and 0 where no word is left to read."""
+    pages = pages.where("page_id IS NOT NULL").select("page_id", "text")
+
+    def run(batches):
+        known = Words()
+        for b in batches:
+            texts = [" ".join(plain(" ".join((t or "").split()), known)).encode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            langs: list[str | None] = [None] * len(texts)
+            sure = np.zeros(len(texts))
+            at = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
+            if len(at):
+                x, of = windows([texts[i] for i in at])
+                mean = np.zeros((len(at), len(model.languages)))
+                np.add.at(mean, of, model.probabilities(x))
+                mean /= np.bincount(of)[:, None]
+                sure[at] = mean.max(axis=1)
+                for i, k in zip(at, mean.argmax(axis=1), strict=True):
+                    langs[i] = model.languages[k]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure)], names=["page_id", "lang", "confidence"])
+
+    return spread(pages).mapInArrow(run, "page_id long, lang string, confidence double").dropDuplicates(["page_id"])
+
+
 def page_languages(pages: DataFrame, model: ByteCnn) -> DataFrame:
-    """One row per page and language found in its lines: lines, words, confidence (mean by words), and whether it is the main one."""
+    """One row per page and language found in its lines: lines, words, confidence (mean by words), and whether it is the main one.
+
+    A page in which no line has a language gets the best one of its whole text, of 0 lines, with what confidence it has.
+    """
     from pyspark.sql import Window
 
     per = (
@@ -317,7 +350,10 @@ def page_languages(pages: DataFrame, model: ByteCnn) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("n_words"), (F.sum(F.col("words") * F.col("confidence")) / F.sum("words")).alias("confidence"))
     )
     order = Window.partitionBy("page_id").orderBy(F.desc("n_words"), "lang")
-    return per.withColumn("is_main", F.row_number().over(order) == 1)
+    found = scratch(per.withColumn("is_main", F.row_number().over(order) == 1), "langs")
+    rest = page_guesses(pages.join(found.select("page_id").distinct(), "page_id", "left_anti"), model)
+    none = F.lit(0).cast("long")
+    return found.unionByName(rest.select("page_id", "lang", none.alias("n_lines"), none.alias("n_words"), "confidence", F.lit(True).alias("is_main")))
 
 
 def segments(pages: DataFrame, model: ByteCnn) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 from skein.functions.runtime import scratch
 from skein.llm.tokens import ranked, token_counts
 
-#: Budgets above this are first brought below it by taking the largest documents; the programme then fits the rest exactly.
-MAX_FITTED = 200_000
+#: Largest sizes a remaining budget is first filled down to, in multiples of the largest one; the programme fits what is left.
+WINDOW = 8
 
 
 def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each size to take for the largest sum up to budget: bounded knapsack over bit sets."""
+    """How many of each size to take for the largest sum up to budget: bounded knapsack over bit sets.
+
+    Of every sum only the first item that reaches it is remembered, so memory grows with the budget alone.
+    """
     items: list[tuple[int, int]] = []
     for s, n in sorted(counts.items(), reverse=True):
         n, k = min(n, budget // s) if s else 0, 1
@@ -38,21 +42,47 @@ def subset_sum(counts: dict[int, int], budget: int) -> dict[int, int]:
             n -= k
             k *= 2
     full = (1 << (budget + 1)) - 1
-    reach = [1]
-    for s, k in items:
-        reach.append((reach[-1] | reach[-1] << (s * k)) & full)
-        if reach[-1] >> budget & 1:
-            break
-    total = reach[-1].bit_length() - 1
+    first = np.full(budget + 1, -1, np.int32)
+    reach = 1
+    for i, (s, k) in enumerate(items):
+        new = (reach << (s * k)) & full & ~reach
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
+            first[np.flatnonzero(bits)] = i
+            reach |= new
+            if reach >> budget & 1:
+                break
+    total = reach.bit_length() - 1
     out: dict[int, int] = defaultdict(int)
-    for i in range(len(reach) - 1, 0, -1):
-        if not reach[i - 1] >> total & 1:
-            s, k = items[i - 1]
-            out[s] += k
-            total -= s * k
+    while total:
+        s, k = items[first[total]]
+        out[s] += k
+        total -= s * k
     return dict(out)
 
 
+def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """How many of each size to take for the largest sum up to budget.
+
+    The largest sizes are taken until WINDOW times the largest is left, which the programme then fits. A budget that is
+    met is met best; where it isn't, the programme runs over the whole budget, so the result is the best one always.
+    """
+    left, take, rest = dict(counts), defaultdict(int), budget
+    keep = WINDOW * max(counts, default=0)
+    for s in sorted(counts, reverse=True):
+        n = min(left[s], max(0, rest - keep) // s) if s else 0
+        take[s] += n
+        left[s] -= n
+        rest -= n * s
+    for s, n in subset_sum(left, rest).items():
+        take[s] += n
+        rest -= n * s
+    best = {s: n for s, n in take.items() if n}
+    if rest > 0 and sum(best.values()) < sum(n for s, n in counts.items() if s):
+        best = subset_sum(counts, budget)
+    return best
+
+
 def fit(counts: dict[int, int], target: int, max_repeats: int) -> tuple[int, dict[int, int]]:
     """Whole repeats of a source, and how many documents of each size come once more."""
     tokens = sum(s * n for s, n in counts.items())
@@ -65,14 +95,7 @@ def fit(counts: dict[int, int], target: int, max_repeats: int) -> tuple[int, dic
     take = {s: n * rest // tokens for s, n in counts.items() if s > 0}
     rest -= sum(s * n for s, n in take.items())
     left = {s: counts[s] - n for s, n in take.items() if counts[s] > n}
-    for s in sorted(left, reverse=True):
-        if rest <= MAX_FITTED:
-            break
-        n = min(left[s], (rest - MAX_FITTED) // s)
-        take[s] += n
-        left[s] -= n
-        rest -= n * s
-    for s, n in subset_sum(left, rest).items():
+    for s, n in fill(left, rest).items():
         take[s] += n
     return repeats, {s: n for s, n in take.items() if n}
 

@@ -10,8 +10,13 @@ exactly by their sets of word sequences.
 
 The whole slot in the key keeps buckets small whatever the size of the collection: an unrelated pair shares it with
 probability of its Jaccard similarity. At similarity 0.6 one segment finds a pair with probability of about 0.17, the 24
-together with about 0.99; from 0.7 on it is above 0.999. Hot keys are split by AQE's skew join; pages of the same
-words are one class from the start, of which only the smallest page_id is compared.
+together with about 0.99; from 0.7 on it is above 0.999. A key of more than HOT_KEY pages (a site whose pages share much
+of their furniture) is split: its pages get RETRIES keys each instead, of the key and two more whole slots, one pair of
+slots each; at similarity 0.6 all of them miss a pair with probability of 0.005. Pages of the same words are one class
+from the start, of which only the smallest page_id is compared.
+
+Classes of up to MAX_EXPANDED equal pages are written out pair by pair, larger ones as links from their smallest page_id;
+classes() gives the membership of all of them, so every pair follows from the two.
 
 Defined cases: null title is empty; pages with null text or fewer than min_words words in text take no part; a row
 delivered twice counts once; an empty table gives no rows.
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.runtime import scratch, spread
+from skein.functions.runtime import maybe_broadcast, scratch, spread
 from skein.llm.spans import WordHash, _mix
 
 SHINGLE = 3
@@ -38,6 +43,8 @@ SEGMENTS = 24
 CHECK_BITS = 23
 #: Classes of equal pages of up to so many members are written out pair by pair; larger ones as links to their smallest page_id.
 MAX_EXPANDED = 64
+#: Pages of one key from which it is split, and the keys each of them gets instead.
+HOT_KEY, RETRIES = 1000, 12
 
 _GENERATOR = 0b110001110101
 _WORDS = re.compile(r"[^\W_]+")
@@ -178,6 +185,43 @@ def _key_batches(batches, piece: int = 2000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k)), pa.array(ids[row]), pa.array(check[row])], names=["key", "id", "bits"])
 
 
+def _slot_rows(batches):
+    """(t, slot) of each page and segment: how many pages a key can have at most."""
+    whole, _, _ = _layout()
+    for b in batches:
+        sig = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16).reshape(-1, SLOTS)[:, whole].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((sig + (np.arange(SEGMENTS) << 16)[None, :]).ravel())], names=["slot"])
+
+
+def _split_batches(batches):
+    """Of (key, id, bits, sig): RETRIES rows (key, id, bits) each, of the key and two more slots."""
+    pairs = np.random.default_rng(9).permutation(SLOTS)[: 2 * RETRIES].reshape(-1, 2)
+    for b in batches:
+        key = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, SLOTS).astype(np.uint64)
+        new = np.stack([_mix(_mix(key + np.uint64(r + 1)) + (sig[:, x] << np.uint64(16) | sig[:, y])) for r, (x, y) in enumerate(pairs)], axis=1) if len(key) else np.empty((0, RETRIES), np.uint64)
+        # below zero, where no other key is
+        new = (new | np.uint64(1 << 63)).view(np.int64).ravel()
+        at = pa.array(np.repeat(np.arange(len(key)), RETRIES))
+        yield pa.RecordBatch.from_arrays([pa.array(new), b.column(1).take(at), b.column(2).take(at)], names=["key", "id", "bits"])
+
+
+def split_hot(rows: DataFrame, reps: DataFrame, most: int = HOT_KEY) -> DataFrame:
+    """rows (key, id, bits) with the keys of more than most pages split by further slots of reps (rep, sig)."""
+    slots = reps.select("sig").mapInArrow(_slot_rows, "slot long").groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("slot")
+    slots = scratch(slots, "slots")
+    if slots.isEmpty():
+        return rows
+    # key = t << 28 | slot << 12 | index
+    counted = rows.withColumn("slot", F.shiftright("key", 12)).join(maybe_broadcast(slots), "slot", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = scratch(counted.where(F.col("n") > most).select("key"), "hot")
+    if hot.isEmpty():
+        return rows
+    hot = maybe_broadcast(hot)
+    dense = rows.join(hot, "key", "left_semi").join(reps.select(F.col("rep").alias("id"), "sig"), "id").select("key", "id", "bits", "sig")
+    return rows.join(hot, "key", "left_anti").unionByName(dense.mapInArrow(_split_batches, "key long, id long, bits long"))
+
+
 def _alike(least: int):
     def run(batches):
         for b in batches:
@@ -208,6 +252,7 @@ class NearDuplicates:
         reps = scratch(base.groupBy("cls").agg(F.min("page_id").alias("rep"), F.first("sig").alias("sig"), F.countDistinct("page_id").alias("members")), "reps")
         self.members = base.select("page_id", "cls").distinct().join(reps.where("members > 1").select("cls", "rep", "members"), "cls").select("rep", "page_id", "members")
         rows = spread(reps.select("rep", "sig")).mapInArrow(_key_batches, "key long, id long, bits long")
+        rows = split_hot(rows, reps)
         x, y = rows.alias("x"), rows.alias("y")
         near = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= CHECK_BITS
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -239,6 +284,10 @@ class NearDuplicates:
         across = left.join(small.select(F.col("rep").alias("b"), F.col("page_id").alias("q")), "b", "left").select("p", F.coalesce("q", "b").alias("q"))
         return across.unionByName(inside).unionByName(star).select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b")).distinct()
 
+    def classes(self) -> DataFrame:
+        """(page_id, class_id): the members of each class of two or more equal pages, and the smallest of them."""
+        return self.members.select("page_id", F.col("rep").alias("class_id"))
+
     def groups(self) -> DataFrame:
         """One row per page that has a near duplicate: page_id, group_id (the group's smallest page_id), n_links of its class."""
         from skein.llm.components import components

@@ -1,11 +1,16 @@
-"""Documents combined into containers of fixed capacity, by bin completion.
+"""Documents combined into containers of fixed capacity, by bin completion with branch and bound.
 
 Documents of equal size are interchangeable, so the search runs over the counts of each size: at most as many numbers as
-the capacity, whatever the number of documents. Around the largest size left, the undominated fillings of the remaining
-room are searched depth first, larger sizes first; a branch ends when the room can't be filled better than by the
-incumbent, which starts as the best-fit filling, and the search ends at a filling without waste. The filling found is
-used as often as the counts allow. A whole best-fit-decreasing packing is the incumbent of the whole; the better of the
-two is kept, and a packing of as many containers as the tokens need at least is optimal.
+the capacity, whatever the number of documents. Around the largest size left, a filling of the remaining room is chosen:
+the best-fit one is the incumbent; if it wastes room, a table of the sums that the remaining sizes can still reach is the
+waste bound, and the depth-first search, larger sizes first, enters no branch that can't end in the least waste. Of
+fillings of one sum the one of larger documents comes first and dominates. It needs no limit of steps. A filling is used
+as often as the counts allow.
+
+The whole packing is branched too. The incumbents are the best-fit-decreasing packing and the one of dominating
+fillings. As long as more containers are used than the tokens need at least, other branches are run in which one class
+of sizes (those of which m fit a container) is put first, for a share of its tokens: middling sizes left to the end pack
+badly among themselves. The first branch that meets the bound is optimal and ends the search; else the best one stands.
 
 Which document goes where is then worked out in parallel: documents are ranked within their size and the plan says which
 ranks go to which container.
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 from skein.functions.runtime import scratch
 from skein.llm.tokens import ranked, token_counts
 
-#: Search steps for one filling; the incumbent stands when they are used up.
-MAX_STEPS = 20_000
+#: Branches of the whole packing: classes of sizes by how many fit a container, and the shares of them put first.
+CLASSES, SHARES = range(2, 13), (1.0, 0.5, 0.25)
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -44,47 +49,49 @@ def best_fit(room: int, sizes: list[int], left: dict[int, int]) -> Filling:
     return tuple(out)
 
 
-def completion(room: int, sizes: list[int], left: dict[int, int], max_steps: int = MAX_STEPS) -> Filling:
-    """The filling of room of the least waste: depth-first search from the best-fit incumbent.
-
-    Fillings are built of sizes in falling order, as many of a size as fit first, so of two fillings of equal sum the one
-    of larger documents comes first and dominates.
-    """
+def completion(room: int, sizes: list[int], left: dict[int, int]) -> Filling:
+    """The filling of room of the least waste; of several, the one that takes most of the sizes that come first."""
     best = best_fit(room, sizes, left)
-    best_sum = sum(s * n for s, n in best)
-    if best_sum == room:
+    if sum(s * n for s, n in best) == room:
         return best
-    tail = [0] * (len(sizes) + 1)
-    for i in range(len(sizes) - 1, -1, -1):
-        tail[i] = tail[i + 1] + sizes[i] * left[sizes[i]]
-    steps = 0
-    stack: list[tuple[int, int, Filling]] = [(0, 0, ())]
-    while stack and best_sum < room and steps < max_steps:
-        i, total, chosen = stack.pop()
-        while i < len(sizes) and (sizes[i] > room - total or not left[sizes[i]]):
-            i += 1
-        if i == len(sizes) or total + min(tail[i], room - total) <= best_sum:
-            continue
-        s = sizes[i]
-        for n in range(min(left[s], (room - total) // s) + 1):
-            steps += 1
-            now = total + n * s
-            filling = (*chosen, (s, n)) if n else chosen
-            if now > best_sum:
-                best, best_sum = filling, now
-            stack.append((i + 1, now, filling))
-    return best
+    usable = [s for s in sizes if s <= room and left[s]]
+    full = (1 << (room + 1)) - 1
+    reach = [1]  # bit sets of the sums that the sizes from the last to this one can reach
+    for s in reversed(usable):
+        sums, n, k = reach[-1], min(left[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            sums |= (sums << (s * k)) & full
+            n -= k
+            k *= 2
+        reach.append(sums)
+    reach.reverse()
+    rest, out = reach[0].bit_length() - 1, []
+    for s, then in zip(usable, reach[1:], strict=True):
+        if not rest:
+            break
+        n = next(n for n in range(min(left[s], rest // s), -1, -1) if then >> (rest - n * s) & 1)
+        if n:
+            out.append((s, n))
+            rest -= n * s
+    return tuple(out)
+
 
+def plan(counts: dict[int, int], capacity: int, fill=completion, first: int = 0, share: float = 1.0) -> list[tuple[Filling, int]]:
+    """Fillings and how often each is used, over all documents of sizes 1 to capacity.
 
-def plan(counts: dict[int, int], capacity: int, fill=completion) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used, over all documents of sizes 1 to capacity."""
+    first: sizes of which so many fit a container are put before the larger ones, for a share of their tokens.
+    """
     left = {s: n for s, n in counts.items() if s > 0 and n > 0}
     sizes = sorted(left, reverse=True)
+    chosen = {s for s in sizes if first and capacity // s == first}
+    quota = share * sum(s * left[s] for s in chosen)
     out = []
     while sizes:
         s = sizes[0]
         left[s] -= 1
-        rest = fill(capacity - s, sizes, left)
+        order = sorted(sizes, key=lambda x: x not in chosen) if quota > 0 else sizes
+        rest = fill(capacity - s, order, left)
         left[s] += 1
         need: dict[int, int] = {s: 1}
         for x, n in rest:
@@ -92,20 +99,24 @@ def plan(counts: dict[int, int], capacity: int, fill=completion) -> list[tuple[F
         times = min(left[x] // n for x, n in need.items())
         for x, n in need.items():
             left[x] -= times * n
+            quota -= times * n * x if x in chosen else 0
         out.append((tuple(sorted(need.items(), reverse=True)), times))
         sizes = [x for x in sizes if left[x]]
     return out
 
 
 def best_plan(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """The completion plan, or the best-fit-decreasing one where that needs fewer containers."""
+    """The packing of the fewest containers over all branches; the search ends at one that meets the bound."""
     bound = -(-sum(s * n for s, n in counts.items()) // capacity)
-    found = plan(counts, capacity)
-    if sum(t for _, t in found) > bound:
-        other = plan(counts, capacity, best_fit)
-        if sum(t for _, t in other) < sum(t for _, t in found):
-            return other
-    return found
+    used = lambda p: sum(t for _, t in p)
+    best = min(plan(counts, capacity), plan(counts, capacity, best_fit), key=used)
+    for share in SHARES:
+        for first in CLASSES:
+            if used(best) <= bound:
+                return best
+            if any(s and capacity // s == first for s in counts):
+                best = min(best, plan(counts, capacity, first=first, share=share), key=used)
+    return best
 
 
 def _slots(fillings: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import components, knn, mixture, neardup, packing, tokens
 
@@ -54,6 +55,18 @@ def test_near_duplicates(pages, spark):
     assert neardup.NearDuplicates(df.limit(0)).pairs().count() == 0
 
 
+def test_hot_keys_are_split(pages):
+    df, _ = pages
+    before = {tuple(r) for r in neardup.NearDuplicates(df).pairs().collect()}
+    old = neardup.HOT_KEY, neardup.split_hot.__defaults__
+    try:
+        neardup.split_hot.__defaults__ = (2,)
+        n = neardup.NearDuplicates(df)
+        assert len({tuple(r) for r in n.pairs().collect()} & before) >= 0.97 * len(before)
+    finally:
+        neardup.split_hot.__defaults__ = old[1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 14] + [(50, 40), (60, 60)], "a long, b long")
     got = {r.page_id: r.group_id for r in components.components(edges).collect()}
@@ -84,7 +97,13 @@ def test_neighbours(spark):
         assert len({(r.id_a, r.id_b) for r in knn.similar_pairs(df).collect()} & want) >= 0.97 * len(want)
     finally:
         knn.BLOCK = old
-    assert knn.neighbours(df.limit(0)).count() == 0
+    asked = [i for i in range(len(ids)) if ids[i] < "v0020"]
+    exact = {(r.id, r.rank): (r.other, r.cosine) for r in knn.exact_neighbours(df, F.col("id") < "v0020", block=16).collect()}
+    assert len(exact) == 5 * len(asked)
+    for i in asked:
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:5]
+        assert [exact[ids[i], r][1] for r in range(1, 6)] == pytest.approx([s[i, j] for j in order], abs=1e-5)
+    assert knn.neighbours(df.limit(0)).count() == 0 and knn.exact_neighbours(df, F.col("id") == "none").count() == 0
 
 
 def test_completion_is_optimal():
@@ -129,6 +148,13 @@ def test_subset_sum_and_fit():
         for s, n in counts.items():
             sums = {t + k * s for t in sums for k in range(n + 1)}
         assert sum(s * n for s, n in got.items()) == max(t for t in sums if t <= budget) and all(n <= counts[s] for s, n in got.items())
+        small = mixture.WINDOW
+        try:
+            mixture.WINDOW = 0
+            got = mixture.fill(counts, budget)
+        finally:
+            mixture.WINDOW = small
+        assert sum(s * n for s, n in got.items()) == max(t for t in sums if t <= budget) and all(n <= counts[s] for s, n in got.items())
     assert mixture.fit({10: 5}, 175, 8) == (3, {10: 2}) and mixture.fit({10: 5}, 175, 2) == (2, {}) and mixture.fit({}, 5, 2) == (0, {})
 
 
@@ -151,8 +177,6 @@ def test_mixture(spark):
 
 def test_token_pattern_and_ranks(spark):
     assert tokens.WORD_PUNCT.findall("Añb_1, c... д!") == ["Añb_1", ",", "c", "...", "д", "!"]
-    from pyspark.sql import functions as F
-
     df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("g"), F.xxhash64("id").alias("h"))
     got = sorted((r.g, r.rank) for r in tokens.ranked(df, ["g"], "h").collect())
     assert got == [(g, i) for g in (0, 1) for i in range(150)]
