@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests); then it is a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(root)
@@ -45,12 +47,18 @@ def scratch(df: DataFrame, label: str = "t") -> DataFrame:
     The files are removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder of this session in the shared one, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Give a Python-heavy stage at least one partition per core.
 

@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.runtime import scratch, spread
@@ -86,23 +86,48 @@ def posting_rows(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords:
     return texts.mapInArrow(run, f"id {kinds['id']}, seq bigint, field string, term string, tf bigint, positions array<int>, dl bigint")
 
 
-def build(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False) -> InvertedIndex:
-    """Index docs: postings are shuffled once, to their place by (field, term), and written sorted."""
+def _written(df: DataFrame, at: str | None, name: str) -> DataFrame:
+    if at is None:
+        return scratch(df, name)
+    df.write.mode("overwrite").parquet(f"{at}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
+
+
+def build(docs: DataFrame, mappings: dict[str, FieldMapping], stopwords: bool = True, stemming: bool = True, ascii_only: bool = False, at: str | None = None) -> InvertedIndex:
+    """Index docs: postings are shuffled once, to their place by (field, term), and written sorted.
+
+    The shuffle is a rebalance, so a partition that a frequent term makes large is split by the runtime. at: a folder
+    that keeps the tables, from which load() reads them.
+    """
     rows = posting_rows(docs, mappings, stopwords, stemming, ascii_only)
-    postings = scratch(rows.repartition("field", "term").sortWithinPartitions("field", "term"), "postings")
+    postings = _written(rows.hint("rebalance", "field", "term").sortWithinPartitions("field", "term"), at, "postings")
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("seq", F.col("positions")[0].alias("pos"))).alias("f")).select(
         "field", "term", "df", F.col("f.seq").alias("first_seq"), F.col("f.pos").alias("first_pos")
     )
     # every document of a field has one term at its first position
     lens = postings.groupBy("field").agg(F.count(F.when(F.col("positions")[0] == 0, 1)).alias("n_docs"), F.sum("tf").alias("total_len"))
-    found = lens.collect()  # a row a field
-    return InvertedIndex(postings, scratch(terms, "terms"), lens, docs.count(), {r.field: r.total_len / r.n_docs if r.n_docs else 1.0 for r in found})
+    terms, lens = _written(terms, at, "terms"), _written(lens, at, "fields")
+    n_docs = docs.count()
+    if at is not None:
+        docs.sparkSession.createDataFrame([(n_docs,)], "n_docs long").coalesce(1).write.mode("overwrite").parquet(f"{at}/size")
+    return InvertedIndex(postings, terms, lens, n_docs, _averages(lens))
+
+
+def _averages(lens: DataFrame) -> dict[str, float]:
+    return {r.field: r.total_len / r.n_docs if r.n_docs else 1.0 for r in lens.collect()}  # a row a field
+
+
+def load(spark: SparkSession, at: str) -> InvertedIndex:
+    """The index that build() left in a folder."""
+    postings, terms, lens, size = (spark.read.parquet(f"{at}/{n}") for n in ("postings", "terms", "fields", "size"))
+    return InvertedIndex(postings, terms, lens, size.first()[0], _averages(lens))
 
 
 def latest(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """The row of the highest order of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    names = [c for c in rows.columns if c not in (key, order)]
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_x"))
+    return last.select(*[F.col("_x").getField(c).alias(c) for c in rows.columns]) if names else rows.groupBy(key).agg(F.max(order).alias(order)).select(*rows.columns)
 
 
 def upsert(docs: DataFrame, new: DataFrame) -> DataFrame:

@@ -108,8 +108,12 @@ def phrase_hits(index: InvertedIndex, tokens: list[str], fields: list[str], boos
     return found.groupBy("id").agg(F.sum(PHRASE_SCORE * boost).alias("score"))
 
 
-def search_many(index: InvertedIndex, docs: DataFrame, queries: list[tuple[Any, SearchQuery]], fields: list[str], settings: IndexSettings | None = None, analysis: dict | None = None) -> DataFrame:
-    """(qid, id, score) of every matching document of every request, before paging. Requests of one call share filters and boosts."""
+def search_many(index: InvertedIndex, docs: DataFrame, queries: list[tuple[Any, SearchQuery]], fields: list[str], settings: IndexSettings | None = None, analysis: dict | None = None, top: int | None = None) -> DataFrame:
+    """(qid, id, score) of every matching document of every request, before paging. Requests of one call share filters and boosts.
+
+    top: the caller wants no more than so many of each request. Then texts are only read of documents that can still be
+    among them: those whose score, raised by the boost for the exact phrase, reaches the top-th score without it.
+    """
     s, analysis = settings or IndexSettings(), analysis or {}
     spark = docs.sparkSession
     shared = queries[0][1]
@@ -124,7 +128,7 @@ def search_many(index: InvertedIndex, docs: DataFrame, queries: list[tuple[Any,
     wanted = sorted({f for _, q in queries for f in (q.fields or fields)})
     postings = index.postings.where(F.col("field").isin(wanted))
     words = sorted({t for ts, _ in info.values() for t in ts})
-    if all(not w and not q.prefix and all(allowed_distance(q.fuzziness, t) == 0 for t in info[k][0]) for (k, q), (_, w) in zip(queries, info.values(), strict=True)) and len(words) <= 500:
+    if all(not w and not q.prefix and all(allowed_distance(q.fuzziness, t) == 0 for t in info[k][0]) for (k, q), (_, w) in zip(queries, info.values(), strict=True)):
         postings = postings.where(F.col("term").isin(words))  # reaches the sorted scan
     variants = expand(index, tokens)
     kept = docs
@@ -148,6 +152,10 @@ def search_many(index: InvertedIndex, docs: DataFrame, queries: list[tuple[Any,
         exact = F.lit(False)
         for t in texts:
             exact = exact | F.coalesce(t, F.lit(False))
+        if top is not None:
+            order = Window.partitionBy("qid").orderBy(F.desc("plain"))
+            ranked = ranked.withColumn("plain", score).withColumn("least", F.nth_value("plain", top).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            ranked = ranked.where(F.col("least").isNull() | (F.col("plain") * EXACT_BOOST >= F.col("least"))).drop("plain", "least")
         ranked = ranked.join(docs.select("id", *[f for f in wanted if f in docs.columns]), "id")
         score = score * F.when((F.col("n_tokens") > 1) & ~F.col("wild") & exact, EXACT_BOOST).otherwise(1.0)
     return ranked.select("qid", "id", score.alias("score"))

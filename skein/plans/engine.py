@@ -47,23 +47,30 @@ class Engine:
         import json
 
         check_bulk(len(documents))
-        rows = [(i, str(d.get("id", i)), json.dumps(d["fields"]) if isinstance(d.get("fields"), dict) else None) for i, d in enumerate(documents)]
-        return self.bulk_frame(name, self.spark.createDataFrame(rows, "seq long, id string, fields string"))
+        text = lambda x: json.dumps(x) if isinstance(x, dict) else None
+        rows = [(i, str(d.get("id", i)), text(d.get("fields")), text(d.get("meta"))) for i, d in enumerate(documents)]
+        return self.bulk_frame(name, self.spark.createDataFrame(rows, "seq long, id string, fields string, meta string"))
 
     def bulk_frame(self, name: str, rows: DataFrame) -> dict:
         """Upsert any number of documents (seq, id, fields as JSON text) in one plan."""
         if name not in self.store.names() and name not in self.store.aliases():
             self.store.create(name)
         known, settings = self.store.mappings(name), self.store.settings(name)
+        rows = scratch(rows, "bulk")
         if settings.dynamic_mapping:
             new = infer_mappings(rows.where("fields IS NOT NULL"), "fields", known)
             if new != known:
                 self.store.update(name, {k: v for k, v in new.items() if k not in known})
                 known = new
         good, bad = split_valid(rows, known)
+        if known.get("vector", FieldMapping("text")).type == "vector":
+            size = F.size(F.from_json(F.get_json_object("fields", "$.vector"), "array<float>"))
+            fits = F.coalesce(size == settings.vector_dimensions, F.lit(True))
+            good, wrong = good.where(fits), good.where(~fits)
+            bad = bad.unionByName(wrong.select("id", F.col("fields").alias("payload"), F.lit("ERR_VECTOR_DIM").alias("error"), F.current_timestamp().alias("at")))
         counts = (good.count(), bad.count())
         if counts[0]:
-            docs = typed(good, known)
+            docs = typed(good, known, rest=True)
             if settings.auto_embed and "vector" not in docs.columns:
                 docs = docs.withColumn("vector", embed_column(text_of_fields(docs), settings.embedder, settings.vector_dimensions))
             self.store.upsert(name, docs)
@@ -102,7 +109,11 @@ class Engine:
         key = (name, self.store.manifest(name)["version"])
         if key not in self._indexed:
             self._indexed = {k: v for k, v in self._indexed.items() if k[0] != name}
-            self._indexed[key] = index.build(self.store.docs(name), self.store.mappings(name))
+            at = self.store.derived(name, "postings", key[1])
+            if self.store.exists(f"{at}/size/_SUCCESS"):
+                self._indexed[key] = index.load(self.spark, at)
+            else:
+                self._indexed[key] = index.build(self.store.docs(name), self.store.mappings(name), at=at)
         return self._indexed[key]
 
     def search(self, name: str, request: SearchQuery | dict) -> SearchResult:
@@ -139,16 +150,17 @@ class Engine:
 
     def _keyword(self, name, docs, q, settings, fields):
         hits = keyword.search_many(self._index(name), docs, [(0, q)], fields, settings).drop("qid")
+        cut = hits if q.search_after is not None else keyword.search_many(self._index(name), docs, [(0, q)], fields, settings, top=q.offset + 3 * max(1, q.size)).drop("qid")
         if q.should or q.must_not:
             cond = filters.bool_clauses(docs, q.should, q.must_not)
             if q.exact_bool:
                 hits = hits.join(docs.where(cond).select("id"), "id", "left_semi")
             else:
-                window = keyword.page(hits, q.offset, 3 * q.size, q.search_after)
+                window = keyword.page(cut, q.offset, 3 * q.size, q.search_after)
                 kept = window.join(docs.where(cond).select("id"), "id", "left_semi")
                 return kept.orderBy(F.desc("score"), "id").limit(q.size), kept.agg(F.count(F.lit(1)).alias("total"))
         total = hits.agg(F.count(F.lit(1)).alias("total"))
-        return keyword.page(hits, q.offset, q.size, q.search_after), total
+        return keyword.page(hits if q.exact_bool and (q.should or q.must_not) else cut, q.offset, q.size, q.search_after), total
 
     def _vector_hits(self, docs, q, settings, k):
         vectors.require_dims(q.vector, settings.vector_dimensions)
@@ -163,7 +175,7 @@ class Engine:
 
     def _hybrid(self, name, docs, q, settings, fields):
         k = max(5 * q.size, 50)
-        words = keyword.page(keyword.search_many(self._index(name), docs, [(0, q)], fields, settings).drop("qid"), 0, k)
+        words = keyword.page(keyword.search_many(self._index(name), docs, [(0, q)], fields, settings, top=k).drop("qid"), 0, k)
         near = self._vector_hits(docs, SearchQuery(vector=q.vector, filters=q.filters, geo=q.geo, vector_metric=q.vector_metric), settings, k)
         weight = settings.hybrid_keyword_weight if q.hybrid_weight is None else q.hybrid_weight
         blended = vectors.hybrid(words, near, q.ranking_mode or settings.hybrid_ranking_mode, weight, settings.rrf_k, q.min_score)

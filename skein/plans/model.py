@@ -145,6 +145,8 @@ MAX_BULK, MAX_WINDOW, MAX_SIZE, MAX_EXPANSIONS = 1000, 10_000, 100, 50
 def check_window(q: SearchQuery) -> None:
     if q.size < 0 or q.offset < 0 or q.offset + q.size > MAX_WINDOW:
         raise EngineError("ERR_CIRCUIT_WINDOW", f"from + size is limited to {MAX_WINDOW}")
+    if q.size > MAX_SIZE:
+        raise EngineError("ERR_VALIDATION", f"size is limited to {MAX_SIZE}")
 
 
 def check_bulk(n: int) -> None:

@@ -393,7 +393,7 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     ix = _index(spark, d)
     words = [r.term for r in ix.terms.where("field = 'text' AND length(term) > 3").orderBy(F.desc("df"), "term").limit(1001).collect()]
     asked = [(i, SearchQuery(q=f"{a} {b}", operator="OR")) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return pages(search_many(ix, _docs(spark, d), asked, ["text"], analysis=_PLAIN), 10)
+    return pages(search_many(ix, _docs(spark, d), asked, ["text"], analysis=_PLAIN, top=10), 10)
 
 
 @query()
@@ -705,12 +705,10 @@ def mapping_inference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, CASE WHEN r <= 50 THEN 99.5 ELSE p_retailprice END AS price FROM (SELECT p.*, CASE WHEN p_size = 7 THEN row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) ELSE 1000000 END AS r FROM part p)")
 def update_by_query(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from skein.functions.runtime import shared_dir
+    from skein.functions.runtime import shared_folder
     from skein.sources.store import Store
 
-    store = Store(spark, f"{shared_dir(spark)}/update-{uuid.uuid4().hex}")
+    store = Store(spark, shared_folder(spark, "update"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
     store.upsert("parts", p)
     store.update_by_query("parts", F.col("size") == 7, {"price": 99.5}, 50)
@@ -719,13 +717,11 @@ def update_by_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def config_plan(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from skein.functions.runtime import shared_dir
+    from skein.functions.runtime import shared_folder
     from skein.plans.model import FieldMapping
     from skein.sources.store import Store
 
-    store = Store(spark, f"{shared_dir(spark)}/config-{uuid.uuid4().hex}")
+    store = Store(spark, shared_folder(spark, "config"))
     store.create("old")
     store.create("kept", {"a": FieldMapping("text")})
     actions = store.plan({"indexes": [{"name": "kept", "mappings": {"b": {"type": "number"}}}, {"name": "new"}]}, prune=True)
@@ -939,12 +935,10 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """The same counts, worked out by a stream that reads the table to its end."""
-    import uuid
-
-    from skein.functions.runtime import shared_dir
+    from skein.functions.runtime import shared_folder
     from skein.streaming.ingest import windowed_counts as run
 
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     run(source).writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -953,13 +947,11 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id % 13 = 0 AS dead, count(*) AS n FROM events GROUP BY 1")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON lines, read by a stream into an index and its dead letters, and counted."""
-    import uuid
-
-    from skein.functions.runtime import shared_dir
+    from skein.functions.runtime import shared_folder
     from skein.sources.store import Store
     from skein.streaming.ingest import ingest, json_lines
 
-    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "ingest")
     _event_docs(spark, d).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.from_json("fields", "event_type string, label string, amount double, flag string").alias("fields"))).alias("value")).write.text(f"{at}/in")
     store = Store(spark, f"{at}/store")
     store.create("events", _event_maps())

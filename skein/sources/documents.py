@@ -84,9 +84,16 @@ def coerced(doc: Column, name: str, m: FieldMapping) -> Column:
     return F.when(text.rlike(r"^\s*\{"), None).otherwise(plain)
 
 
-def typed(rows: DataFrame, mappings: dict[str, FieldMapping], fields: str = "fields") -> DataFrame:
-    """id, seq and a column for each mapped field."""
-    return rows.select("id", "seq", *[coerced(F.col(fields), n, m).alias(n) for n, m in mappings.items()])
+def typed(rows: DataFrame, mappings: dict[str, FieldMapping], fields: str = "fields", rest: bool = False) -> DataFrame:
+    """id, seq and a column for each mapped field.
+
+    rest: also extra, a JSON object of the fields without mapping (nested ones as JSON text), and meta where rows have it.
+    """
+    out = rows.select("id", "seq", *[coerced(F.col(fields), n, m).alias(n) for n, m in mappings.items()], *([F.col(fields).alias("_doc")] if rest else []), *(["meta"] if rest and "meta" in rows.columns and "meta" not in mappings else []))
+    if not rest or "extra" in mappings:
+        return out.drop("_doc")
+    other = F.map_filter(F.from_json("_doc", "map<string,string>"), lambda k, v: v.isNotNull() & (~k.isin(*mappings) if mappings else F.lit(True)))
+    return out.withColumn("extra", F.when(F.size(other) > 0, F.to_json(other))).drop("_doc")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

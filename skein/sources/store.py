@@ -1,7 +1,13 @@
 """Indexes as versioned parquet tables under one root, with a manifest per index, aliases, snapshots and dead letters.
 
-A write makes a new version directory and then swaps the manifest by rename, so a reader sees a whole version and a lost
-writer leaves the old one. Deletes and upserts are anti-joins into the next version.
+An index is a list of parts, oldest first. A write appends a part, of documents or of the ids that are gone, and then swaps
+the manifest by rename, so a reader sees a whole version and a lost writer leaves the old one; what is written is of the
+size of the change. Reading takes from each part the documents that no later part has. When there are MAX_PARTS parts, or
+the later ones hold more rows than the first, the next write merges all into one. Snapshots are lists of parts, and
+vacuum() removes parts that neither the index nor a snapshot names.
+
+The manifest has a digest of the names and lengths of each part's files. A part that doesn't match it is missing files or
+damaged; it is restored from the fallback root where there is one, and an error otherwise.
 """
 
 from __future__ import annotations
@@ -15,10 +21,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.runtime import BROADCAST_ROWS
 from skein.operators.index import latest
 from skein.plans.model import INDEX_NAME, EngineError, FieldMapping, IndexSettings
 
 KEEP_SNAPSHOTS = 20
+MAX_PARTS = 8
 
 
 class Store:
@@ -76,7 +84,7 @@ class Store:
             raise EngineError("ERR_VALIDATION", f"bad index name {name}")
         if name in self.names():
             raise EngineError("ERR_INDEX_EXISTS", name)
-        self._write(f"{name}/manifest.json", {"mappings": {k: asdict(v) for k, v in (mappings or {}).items()}, "settings": asdict(settings or IndexSettings()), "version": 0, "next_seq": 0, "snapshots": []})
+        self._write(f"{name}/manifest.json", {"mappings": {k: asdict(v) for k, v in (mappings or {}).items()}, "settings": asdict(settings or IndexSettings()), "version": 0, "next_seq": 0, "parts": [], "snapshots": []})
 
     def update(self, name: str, mappings: dict[str, FieldMapping] | None = None, settings: dict | None = None) -> None:
         """Shallow merge; documents are not indexed anew until reindex."""
@@ -101,27 +109,83 @@ class Store:
         return self._read("aliases.json") or {}
 
     # --- documents -------------------------------------------------------------------------------------------------
+    def _digest(self, path: str) -> str:
+        """Of the names and lengths of a folder's data files; "" where it is missing."""
+        p = self._path(path)
+        if not self._fs.exists(p):
+            return ""
+        files = sorted(f"{x.getPath().getName()}:{x.getLen()}" for x in self._fs.listStatus(p) if x.getPath().getName().startswith("part-"))
+        return hashlib.sha256("\n".join(files).encode()).hexdigest()
+
+    def _part(self, name: str, part: dict) -> DataFrame:
+        path = f"{self.root}/{name}/v={part['v']}"
+        if self._digest(path) != part["digest"]:
+            if not self.fallback:
+                raise EngineError("ERR_VALIDATION", f"part {part['v']} of {name} is damaged")
+            self.spark.read.parquet(f"{self.fallback}/{name}/v={part['v']}").write.mode("overwrite").parquet(path)
+            m = self._read(f"{name}/manifest.json")
+            for x in [p for y in (m, *m["snapshots"]) for p in y["parts"] if p["v"] == part["v"]]:
+                x["digest"] = self._digest(path)
+            self._write(f"{name}/manifest.json", m)
+        return self.spark.read.parquet(path)
+
+    def _merged(self, name: str, parts: list[dict]) -> DataFrame:
+        """From each part the documents that no later part has. Ids of later parts are broadcast while they are few."""
+        out, later, n = None, None, 0
+        for part in reversed(parts):
+            rows = self._part(name, part)
+            ids = rows.select("id")
+            if not part["gone"]:
+                kept = rows if later is None else rows.join(F.broadcast(later) if n <= BROADCAST_ROWS else later, "id", "left_anti")
+                out = kept if out is None else kept.unionByName(out, allowMissingColumns=True)
+            later = ids if later is None else later.unionByName(ids)
+            n += part["rows"]
+        return out
+
     def docs(self, name: str) -> DataFrame | None:
-        """Documents of the current version in order of insertion; None if there are none. Falls back to the second root when a version is damaged."""
+        """Documents of the current version; None if there never were any. seq has the order of insertion."""
         name = self.resolve(name)
-        m = self._read(f"{name}/manifest.json")
-        if m["version"] == 0:
-            return None
-        at = f"{name}/v={m['version']}"
-        if self.fallback and not self._fs.exists(self._path(f"{self.root}/{at}/_SUCCESS")):
-            return self.spark.read.parquet(f"{self.fallback}/{at}")
-        return self.spark.read.parquet(f"{self.root}/{at}")
+        parts = self._read(f"{name}/manifest.json")["parts"]
+        return self._merged(name, parts) if parts else None
 
-    def _commit(self, name: str, rows: DataFrame, next_seq: int) -> int:
-        m = self._read(f"{name}/manifest.json")
-        v = max([m["version"], *(s["version"] for s in m["snapshots"])]) + 1
-        rows.write.option("maxRecordsPerFile", 1_000_000).parquet(f"{self.root}/{name}/v={v}")
+    def _save(self, name: str, rows: DataFrame, v: int, gone: bool) -> dict:
+        path = f"{self.root}/{name}/v={v}"
+        rows.write.option("maxRecordsPerFile", 1_000_000).parquet(path)
         if self.fallback:
-            rows.write.mode("overwrite").parquet(f"{self.fallback}/{name}/v={v}")
-        m |= {"version": v, "next_seq": next_seq, "checksum": hashlib.sha256(f"{name}:{v}:{next_seq}".encode()).hexdigest()}
-        self._write(f"{name}/manifest.json", m)
+            self.spark.read.parquet(path).write.mode("overwrite").parquet(f"{self.fallback}/{name}/v={v}")
+        return {"v": v, "gone": gone, "rows": self.spark.read.parquet(path).count(), "digest": self._digest(path)}
+
+    def _commit(self, name: str, rows: DataFrame, next_seq: int, gone: bool = False, alone: bool = False) -> int:
+        """Append rows as a part (alone: instead of all others), and merge when there are too many."""
+        m = self._read(f"{name}/manifest.json")
+        v = m["version"] + 1
+        parts = [*([] if alone else m["parts"]), self._save(name, rows, v, gone)]
+        if len(parts) > 1 and (len(parts) >= MAX_PARTS or sum(p["rows"] for p in parts[1:]) > parts[0]["rows"]):
+            v += 1
+            parts = [self._save(name, self._merged(name, parts), v, False)]
+        self._write(f"{name}/manifest.json", m | {"version": v, "next_seq": next_seq, "parts": parts})
         return v
 
+    def derived(self, name: str, kind: str, version: int) -> str:
+        """The folder for tables worked out of a version of an index."""
+        return f"{self.root}/{self.resolve(name)}/{kind}/{version}"
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def vacuum(self, name: str) -> list[int]:
+        """Remove parts that neither the index nor a snapshot names, and return their numbers. Readers of older versions must be done."""
+        name = self.resolve(name)
+        m = self._read(f"{name}/manifest.json")
+        used = {p["v"] for x in (m, *m["snapshots"]) for p in x["parts"]}
+        removed = []
+        for s in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            label = s.getPath().getName()
+            if label.startswith("v=") and int(label[2:]) not in used:
+                self._fs.delete(s.getPath(), True)
+                removed.append(int(label[2:]))
+        return sorted(removed)
+
     def upsert(self, name: str, rows: DataFrame) -> int:
         """Write documents (id, fields...; of equal ids the last by seq counts); each gets a new place at the end of the order.
 
@@ -137,19 +201,17 @@ class Store:
         if top is None:
             return m["version"]
         new = latest(rows).withColumn("seq", F.col("seq") + F.lit(m["next_seq"]))
-        old = self.docs(name)
-        merged = new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
-        return self._commit(name, merged, m["next_seq"] + top + 1)
+        return self._commit(name, new, m["next_seq"] + top + 1)
 
     def delete_ids(self, name: str, ids: DataFrame) -> int:
-        name, old = self.resolve(name), self.docs(name)
+        name = self.resolve(name)
         m = self._read(f"{name}/manifest.json")
-        return m["version"] if old is None else self._commit(name, old.join(ids.select("id").distinct(), "id", "left_anti"), m["next_seq"])
+        return self._commit(name, ids.select("id").where("id IS NOT NULL").distinct(), m["next_seq"], gone=True) if m["parts"] else m["version"]
 
     def clear(self, name: str) -> int:
         name, old = self.resolve(name), self.docs(name)
         m = self._read(f"{name}/manifest.json")
-        return m["version"] if old is None else self._commit(name, old.limit(0), m["next_seq"])
+        return m["version"] if old is None else self._commit(name, old.limit(0), m["next_seq"], alone=True)
 
     def update_by_query(self, name: str, condition, changes: dict[str, Any], max_docs: int = 100, also=None) -> int:
         """Set fields of the first max_docs (at most 1000) matching documents in order; they move to the end. Returns how many.
@@ -185,7 +247,7 @@ class Store:
         m = self._read(f"{name}/manifest.json")
         now = int(time.time() * 1000)
         sid = f"v_{now}_{hashlib.sha256(f'{name}{now}'.encode()).hexdigest()[:8]}"
-        m["snapshots"] = [*m["snapshots"], {"id": sid, "version": m["version"], "at": now}][-KEEP_SNAPSHOTS:]
+        m["snapshots"] = [*m["snapshots"], {"id": sid, "version": m["version"], "parts": m["parts"], "at": now}][-KEEP_SNAPSHOTS:]
         self._write(f"{name}/manifest.json", m)
         return sid
 
@@ -193,15 +255,17 @@ class Store:
         return self.manifest(name)["snapshots"]
 
     def revert(self, name: str, sid: str) -> int:
-        """The documents of a snapshot as a new version."""
+        """The parts of a snapshot as a new version; nothing is written anew."""
         name = self.resolve(name)
         m = self._read(f"{name}/manifest.json")
         hit = next((s for s in m["snapshots"] if s["id"] == sid), None)
         if hit is None:
             raise EngineError("ERR_VALIDATION", f"no snapshot {sid}")
-        if hit["version"] == 0:
+        if not hit["parts"]:
             return self.clear(name)
-        return self._commit(name, self.spark.read.parquet(f"{self.root}/{name}/v={hit['version']}"), m["next_seq"])
+        m |= {"version": m["version"] + 1, "parts": hit["parts"]}
+        self._write(f"{name}/manifest.json", m)
+        return m["version"]
 
     # --- dead letters ----------------------------------------------------------------------------------------------
     def bury(self, rows: DataFrame, source: str, index: str) -> None:

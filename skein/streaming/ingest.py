@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.sources.documents import split_valid, to_payload, typed
+from skein.functions.runtime import scratch
+from skein.sources.documents import infer_mappings, split_valid, to_payload, typed
 from skein.sources.store import Store
 
 
@@ -19,15 +20,21 @@ def ingest(lines: DataFrame, store: Store, index: str, checkpoint: str, once: bo
 
     A batch that is repeated after a failure writes the same documents again, which upserts make harmless.
     """
-    mappings = store.mappings(index)
+    dynamic = store.settings(index).dynamic_mapping
 
     def batch(df: DataFrame, _: int) -> None:
+        mappings = store.mappings(index)
         df = df.where("trim(value) <> ''")
         ok = F.coalesce(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"), F.lit(False))
         broken = df.where(~ok).select(F.sha2("value", 256).alias("id"), F.col("value").alias("payload"), F.lit("no JSON object").alias("error"), F.current_timestamp().alias("at"))
-        rows = to_payload(df.where(ok)).withColumn("seq", F.monotonically_increasing_id())
+        rows = scratch(to_payload(df.where(ok)).withColumn("seq", F.monotonically_increasing_id()), "lines")
+        if dynamic:
+            new = {k: v for k, v in infer_mappings(rows.where("fields IS NOT NULL"), "fields", mappings).items() if k not in mappings}
+            if new:
+                store.update(index, new)
+                mappings = mappings | new
         good, bad = split_valid(rows, mappings)
-        store.upsert(index, typed(good, mappings))
+        store.upsert(index, typed(good, mappings, rest=True))
         letters = bad.unionByName(broken)
         if not letters.isEmpty():
             store.bury(letters, "stream", index)

@@ -68,6 +68,56 @@ def test_documents_and_snapshots(engine):
     assert s.resolve("store") == "shop"
 
 
+def test_parts_vacuum_and_repair(spark, tmp_path):
+    from skein.sources.store import Store
+
+    s = Store(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    rows = lambda lo, hi, x: spark.createDataFrame([(i, i, x) for i in range(lo, hi)], "id long, seq long, x string")
+    s.upsert("t", rows(0, 100, "old"))
+    sid = s.snapshot("t")
+    s.upsert("t", rows(90, 110, "new"))
+    s.delete_ids("t", rows(0, 5, ""))
+    m = s.manifest("t")
+    assert [(p["rows"], p["gone"]) for p in m["parts"]] == [(100, False), (20, False), (5, True)]
+    got = {r.id: r.x for r in s.docs("t").collect()}
+    assert got == {i: "new" if i >= 90 else "old" for i in range(5, 110)}
+    for f in (tmp_path / "a/t/v=2").glob("part-*"):
+        f.unlink()
+    assert {r.id: r.x for r in s.docs("t").collect()} == got
+    for k in range(6):
+        s.upsert("t", rows(50 + k, 51 + k, f"k{k}"))
+    assert len(s.manifest("t")["parts"]) < 8 and s.docs("t").count() == 105 and s.docs("t").where("id = 53").first().x == "k3"
+    assert s.vacuum("t") and s.docs("t").count() == 105
+    s.revert("t", sid)
+    assert s.docs("t").count() == 100 and s.docs("t").where("x = 'old'").count() == 100
+    s.clear("t")
+    assert s.docs("t").count() == 0
+    (part,) = s.manifest("t")["parts"]
+    s.fallback = None
+    for f in (tmp_path / f"a/t/v={part['v']}").glob("part-*"):
+        f.unlink()
+    with pytest.raises(EngineError):
+        s.docs("t")
+
+
+def test_second_process_reads_the_postings(engine):
+    first = engine.search("shop", {"q": "ceramic"}).hits.collect()
+    other = Engine(engine.spark, engine.store.root)
+    at = other.store.derived("shop", "postings", other.store.manifest("shop")["version"])
+    assert other.store.exists(f"{at}/size/_SUCCESS") and other.search("shop", {"q": "ceramic"}).hits.collect() == first
+
+
+def test_rest_of_the_fields_and_dimensions(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.create_index("v", {"title": FieldMapping("text"), "vector": FieldMapping("vector")}, IndexSettings(vector_dimensions=3, dynamic_mapping=False, auto_embed=False))
+    got = e.bulk("v", [{"id": "a", "fields": {"title": "x", "vector": [1, 2, 3], "attrs": {"k": 1}, "n": 2}, "meta": {"m": True}}, {"id": "b", "fields": {"title": "y", "vector": [1, 2]}}, {"id": "c", "fields": {"title": "z"}}])
+    assert (got["indexed"], got["failed"]) == (2, 1) and e.store.dead_letters(index="v").first()["error"] == "ERR_VECTOR_DIM"
+    row = e.store.get("v", "a").first()
+    assert json.loads(row["extra"]) == {"attrs": '{"k":1}', "n": "2"} and json.loads(row["meta"]) == {"m": True} and e.store.get("v", "c").first()["extra"] is None
+    with pytest.raises(EngineError):
+        check_window(SearchQuery(q="x", size=101))
+
+
 def test_replay_and_embedding_anew(engine):
     assert engine.replay("shop")["failed"] == 1
     assert engine.store.dead_letters(index="shop").where("replayed_at IS NOT NULL").count() >= 1

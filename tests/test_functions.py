@@ -104,6 +104,7 @@ def test_messages():
     assert messages.format_message("OK_BULK", indexed=3, failed=0)["message"] == "Bulk indexing finished: 3 documents indexed."
     assert messages.format_message("NOPE")["status"] == 500
     assert messages.correct_summary("Found 3 matching document(s) {x}.") == "Found 3 matching documents."
+    assert messages.correct_summary("0 matching documents  here") == "no matching documents here" and messages.correct_summary("Retrieved 2 index(es) .") == "Retrieved 2 indexes."
 
 
 def test_translate():
