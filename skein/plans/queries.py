@@ -334,9 +334,10 @@ def fuzzy_expand(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "harbuor", fuzziness=2)
 
 
-@query(_bm25_sql(["harbour"]))
+@query(SQL["fuzzy_expand"])
 def fuzzy_auto(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "harbour", fuzziness="AUTO")
+    """A misspelt word of seven letters, for which AUTO allows two edits."""
+    return _search(spark, d, "harbuor", fuzziness="AUTO")
 
 
 @query(f"""WITH {_tok()} SELECT doc_id AS id, 2.5 * 1.35 * CASE WHEN contains(lower(max(d.text)), 'harbour office') THEN 1.5 ELSE 1 END AS score
@@ -384,7 +385,13 @@ def suggest(spark: SparkSession, d: str) -> DataFrame:
     return run(_index(spark, d), "pa")
 
 
-@query()
+@query(f"""WITH {_tok()}, words AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS i FROM tdf WHERE length(term) > 3 QUALIFY i <= 1000),
+ asked AS (SELECT a.i AS qid, a.term AS x, b.term AS y FROM words a JOIN words b ON b.i = a.i + 1), q AS (SELECT qid, x AS word FROM asked UNION ALL SELECT qid, y FROM asked),
+ parts AS (SELECT qid, p.doc_id, word, {_BM25} AS s FROM q JOIN tpost p ON p.term = q.word JOIN tdf USING (term) JOIN tdl USING (doc_id), tavg, tn),
+ sums AS (SELECT qid, doc_id, sum(s) * CASE WHEN count(*) = 2 THEN 1.35 ELSE 1 END AS s FROM parts GROUP BY ALL),
+ near AS (SELECT *, nth_value(s, 10) OVER (PARTITION BY qid ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM sums),
+ full_ AS (SELECT qid, doc_id AS id, round(n.s * CASE WHEN contains(lower(d.text), x || ' ' || y) THEN 1.5 ELSE 1 END, 6) AS score FROM near n JOIN asked USING (qid) JOIN documents d USING (doc_id) WHERE t IS NULL OR n.s * 1.5 >= t)
+ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM full_ QUALIFY rank <= 10""")
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     """A thousand requests of two words of the dictionary in one plan, ten hits each."""
     from skein.operators.keyword import pages, search_many
@@ -393,7 +400,7 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     ix = _index(spark, d)
     words = [r.term for r in ix.terms.where("field = 'text' AND length(term) > 3").orderBy(F.desc("df"), "term").limit(1001).collect()]
     asked = [(i, SearchQuery(q=f"{a} {b}", operator="OR")) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return pages(search_many(ix, _docs(spark, d), asked, ["text"], analysis=_PLAIN, top=10), 10)
+    return pages(search_many(ix, _docs(spark, d), asked, ["text"], analysis=_PLAIN, top=10).withColumn("score", F.round("score", 6)), 10)
 
 
 @query()
@@ -469,22 +476,27 @@ def sq8_quantize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", quantize(F.col("embedding"))["q"].cast("array<int>").alias("q"))
 
 
-@query("SELECT vec_id, true AS close FROM embeddings")
+@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE AS s FROM embeddings),
+ q AS (SELECT vec_id, e, list_transform(e, lambda x: floor((x - lo) * 255.0 / CASE WHEN s = 0 THEN 1 ELSE s END + 0.5) * CASE WHEN s = 0 THEN 1 ELSE s END / 255.0 + lo) AS back FROM m)
+ SELECT vec_id, round(list_cosine_similarity(e, back), 5) AS cosine, round(list_max(list_transform(list_zip(e, back), lambda p: abs(p[1] - p[2]))), 5) AS most FROM q""")
 def sq8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators.vectors import cosine, dequantize, quantize
 
     e = table(spark, d, "embeddings").withColumn("q", quantize(F.col("embedding")))
-    return e.select("vec_id", (cosine(F.col("embedding"), dequantize(F.col("q"))) > 0.985).alias("close"))
+    back = dequantize(F.col("q"))
+    gap = F.array_max(F.zip_with(F.col("embedding").cast("array<double>"), back, lambda x, y: F.abs(x - y)))
+    return e.select("vec_id", F.round(cosine(F.col("embedding"), back), 5).alias("cosine"), F.round(gap, 5).alias("most"))
 
 
-@query()
+@query("""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 100, against all."""
     from skein.operators.vectors import knn_many
 
     v = _vectors(spark, d)
     asked = {r.id: list(r.vec) for r in v.where("id % 100 = 0").orderBy("id").collect()}
-    return knn_many(v, asked, 10)
+    return knn_many(v, asked, 10).withColumn("score", F.round("score", 6))
 
 
 def _lists_sql(k: int = 50) -> str:
@@ -859,7 +871,7 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", extract_column(F.col("url"), html).alias("x")).select("page_id", "x.title", "x.text")
 
 
-@query()
+@query(f"SELECT DISTINCT page_id, (starts_with(p, '/ab') OR NOT (starts_with(p, '/a') OR starts_with(p, '/z'))) AS allowed FROM (SELECT page_id, {_PATH.format(c='url')} AS p FROM crawled_pages)")
 def robots_filter(spark: SparkSession, d: str) -> DataFrame:
     from skein.functions.html import robots_allowed, robots_rules
     from skein.functions.text import path_of
@@ -868,7 +880,7 @@ def robots_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawled_pages").select("page_id", robots_allowed(path_of(F.col("url")), rules).alias("allowed")).distinct()
 
 
-@query()
+@query("SELECT DISTINCT site_name, url FROM crawled_pages WHERE url IS NOT NULL")
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     from skein.functions.html import sitemap_locations, sitemaps
 
