@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYWORDS, MAX_HEADINGS, MAX_TEXT = 40, 30, 200_000
 _HIDDEN = {"script", "style", "noscript", "template", "svg"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "main", "aside"}
 
@@ -70,17 +69,17 @@ class _Page(HTMLParser):
                 self.heading.append(data)
 
 
-def extract(url: str, html: str) -> dict:
-    """Fields of a page; broken markup gives what could be read."""
+def extract(url: str, html: str, max_keywords: int | None = None, max_headings: int | None = None, max_text: int | None = None) -> dict:
+    """Fields of a page, whole unless limits are given; broken markup gives what could be read."""
     p = _Page(url)
     p.feed(html or "")
     p.close()
     m = p.meta
     lines = (" ".join(x.split()) for x in "".join(p.out).split("\n"))
-    keywords = [k.strip() for k in re.split(r"[,;]", m.get("keywords", "")) if k.strip()][:MAX_KEYWORDS]
+    keywords = [k.strip() for k in re.split(r"[,;]", m.get("keywords", "")) if k.strip()][:max_keywords]
     return {
-        "title": " ".join(p.title.split()) or m.get("og:title", ""), "text": "\n".join(x for x in lines if x)[:MAX_TEXT], "description": m.get("description") or m.get("og:description") or "",
-        "links": p.links, "lang": p.lang or None, "canonical": p.canonical or None, "author": m.get("author") or m.get("article:author"), "keywords": keywords, "headings": p.headings[:MAX_HEADINGS],
+        "title": " ".join(p.title.split()) or m.get("og:title", ""), "text": "\n".join(x for x in lines if x)[:max_text], "description": m.get("description") or m.get("og:description") or "",
+        "links": p.links, "lang": p.lang or None, "canonical": p.canonical or None, "author": m.get("author") or m.get("article:author"), "keywords": keywords, "headings": p.headings[:max_headings],
         "site_name": m.get("og:site_name"), "og_title": m.get("og:title"), "og_type": m.get("og:type"), "published_at": m.get("article:published_time") or m.get("date"), "has_article": p.article or m.get("og:type") == "article",
     }
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from skein.functions.messages import CATALOGUE, correct_summary, format_message
 from skein.plans.model import EngineError
@@ -54,9 +56,15 @@ class Registry:
         return message
 
     def register_function(self, spark: SparkSession, name: str, kind: str) -> None:
-        """Make a tool of one argument a SQL function."""
+        """Make a tool of one argument a SQL function, which gets whole Arrow batches; equal values of a batch are worked out once."""
         tool = next(t for t in self.tools() if t.name == name)
-        spark.udf.register(name, tool.execute, kind)
+
+        @F.pandas_udf(kind)
+        def run(s: pd.Series) -> pd.Series:
+            done = {x: tool.execute(x) for x in s.dropna().unique()}
+            return s.map(lambda x: done.get(x))
+
+        spark.udf.register(name, run)
 
 
 BUILT_IN = {

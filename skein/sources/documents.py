@@ -22,33 +22,44 @@ NUMBER_HINTS = "status depth word_count wordcount link_count linkcount price sco
 DATE_HINTS = "fetched_at published_at updated_at created_at date".split()
 
 
+def _number(v: Any) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+def _all(kind, v: Any) -> bool:
+    return isinstance(v, list) and all(map(kind, v))
+
+
+def _is_text(v: Any) -> bool:
+    return isinstance(v, str)
+
+
+_ISO_DATE = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?!\d)")
+_ADDRESS = re.compile(r"(?i)https?://|/(?!.* )")
+
+#: Types in the order in which they are tried, with what a value v of a field k must be; the first that fits decides.
+_TYPES = (
+    ("geo_point", lambda k, v: isinstance(v, dict) and _number(v.get("lat")) and _number(v.get("lon", v.get("lng")))),
+    ("geo_point", lambda k, v: _all(_number, v) and len(v) == 2 and re.search("loc|geo|coord|point", k)),
+    (None, lambda k, v: v is None or isinstance(v, dict)),
+    ("boolean", lambda k, v: isinstance(v, bool)),
+    ("keyword", lambda k, v: _all(_is_text, v)),
+    ("number", lambda k, v: _number(v) or _all(_number, v)),
+    ("text", lambda k, v: isinstance(v, list)),
+    ("date", lambda k, v: k in DATE_HINTS or _ISO_DATE.match(v)),
+    ("number", lambda k, v: k in NUMBER_HINTS and re.fullmatch(r"-?\d+(\.\d+)?", v.strip())),
+    ("keyword", lambda k, v: k in KEYWORD_HINTS or _ADDRESS.match(v)),
+    ("text", lambda k, v: k in TEXT_HINTS),
+    ("keyword", lambda k, v: len(v) <= 64 and not re.search(r"\s", v.strip())),
+    ("keyword", lambda k, v: len(v) <= 80 and len(re.split(r"\s+", v)) <= 4),
+    ("text", lambda k, v: True),
+)
+
+
 def infer_type(name: str, value: Any) -> str | None:
     """Field type of a first non-null JSON value, None for objects that are no points."""
     key = re.sub(r"[^a-z0-9_]", "_", name.lower())
-    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
-    if value is None:
-        return None
-    if isinstance(value, dict):
-        return "geo_point" if number(value.get("lat")) and number(value.get("lon", value.get("lng"))) else None
-    if isinstance(value, bool):
-        return "boolean"
-    if number(value):
-        return "number"
-    if isinstance(value, list):
-        numbers = all(map(number, value))
-        if len(value) == 2 and numbers and re.search("loc|geo|coord|point", name, re.IGNORECASE):
-            return "geo_point"
-        return "keyword" if all(isinstance(x, str) for x in value) else "number" if numbers else "text"
-    if key in DATE_HINTS or re.match(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?!\d)", value):
-        return "date"
-    if key in NUMBER_HINTS and re.fullmatch(r"-?\d+(\.\d+)?", value.strip()):
-        return "number"
-    if key in KEYWORD_HINTS or re.match(r"(?i)https?://", value) or (value.startswith("/") and " " not in value):
-        return "keyword"
-    if key in TEXT_HINTS:
-        return "text"
-    short = len(value) <= 64 and not re.search(r"\s", value.strip()) or len(value) <= 80 and len(re.split(r"\s+", value)) <= 4
-    return "keyword" if short else "text"
+    return next(kind for kind, fits in _TYPES if fits(key, value))
 
 
 def infer_mappings(rows: DataFrame, fields: str = "fields", known: dict[str, FieldMapping] | None = None) -> dict[str, FieldMapping]:

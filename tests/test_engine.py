@@ -4,7 +4,7 @@ import pytest
 
 from skein.plans.engine import Engine
 from skein.plans.model import EngineError, FieldMapping, IndexSettings, SearchQuery, check_window
-from skein.plans.plugins import load
+from skein.plans.plugins import Tool, load
 from skein.sources import documents
 
 MAPS = {"title": FieldMapping("text"), "category": FieldMapping("keyword"), "price": FieldMapping("number"), "location": FieldMapping("geo_point")}
@@ -156,9 +156,12 @@ def test_sources(spark, tmp_path):
     assert got == {'{"t":"x"}', '{"t": "bare"}', '{"t":"y"}'}
 
 
-def test_plugins():
+def test_plugins(spark):
     r = load()
     assert "OK_BULK" in r.run("list_codes") and r.run("correct_summary", message="Retrieved 1 index(es)") == "Retrieved 1 index"
     with pytest.raises(EngineError):
         r.run("format_message")
     assert load("none").tools() == []
+    r.add("shout", [Tool("shout", lambda x: x.upper())])
+    r.register_function(spark, "shout", "string")
+    assert [x[0] for x in spark.sql("SELECT shout(v) FROM VALUES ('a'), (NULL), ('a') t(v)").collect()] == ["A", None, "A"]
