@@ -35,7 +35,7 @@ LENGTH = 12
 PIVOTS_PER_ROOT = 2.0
 BLOCK = 4096
 #: Candidates reranked in a file, in multiples of sqrt(n): as many at every size would lose recall as n grows.
-CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 2.0, 32
+CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 3.0, 32
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
