@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import body, language, langlabels, sitelines, spam, spans
+from skein.llm import body, fit, language, langlabels, sitelines, spam, spans
 
 PAGES = "page_id long, url string, final_url string, title string, text string, lang string"
 
@@ -72,6 +72,34 @@ def test_spam(site, spark):
     assert found == {1000, 1001}
 
 
+def _many(n, tongue=False):
+    """n pages; with tongue each hundredth is in Dutch, of sentences that compress better than the English ones."""
+    for i in range(n):
+        w = [f"{chr(97 + i * k % 23)}{chr(97 + i * (k + 3) // 7 % 25)}{chr(97 + (i + k) % 11)}o" for k in range(12)]
+        dutch = tongue and i % 100 == 0
+        story = f"The {w[0]} office {w[1]} keeps every {w[2]} of the {w[3]} {w[4]} that {w[5]} during the long {w[6]}, and nobody {w[7]} the {w[8]}. It {w[9]} at {w[10]}." + f" In {w[3]} the {w[9]} of {w[4]} was not at all like the {w[1]} by the {w[8]}." * (i % 2)
+        if dutch:
+            story = " ".join(["de boot van de haven en de boot van de stad gaan samen langs de boot van de zee."] * (2 + i // 100 % 4))
+        title = None if tongue else f"Story of {w[11]}"
+        yield i, "u", "u", title, f"Home | About us | Contact\n{title + chr(10) if title else ''}{story}\nShare this page with a friend\n© {2000 + i % 30} Some Press. All rights reserved.", "nl" if dutch else "en"
+
+
+def test_fit_is_that_of_all_pages(spark):
+    rows = list(_many(4000))
+    got = fit.train_on(spark.createDataFrame(rows, PAGES).repartition(5))
+    whole, part = (body.train([r[3:5] for r in x]) for x in (rows, rows[:3000]))
+    assert got == pytest.approx(whole, abs=1e-6) and part != pytest.approx(whole, abs=1e-3)
+    assert fit.train_on(spark.createDataFrame([], PAGES)) == {} == fit.train_on(spark.createDataFrame([(1, "u", "u", "t", "a", None)], PAGES))
+
+
+def test_ordinary_text_is_that_of_all_pages(spark):
+    # 60 Dutch pages of 6,000: enough for a fit of their own only if all are read
+    rows = list(_many(6000, True))
+    got = spam.redundancy(spark.createDataFrame(rows + rows[:2], PAGES))
+    dutch = [r.least_ratio for r in got.where("page_id % 100 = 0").collect()]
+    assert len(dutch) == 60 and np.mean(np.log(dutch)) == pytest.approx(0, abs=0.02)
+
+
 def test_language(spark):
     seeds = {"en": "the house and the garden are near the river because we like water", "de": "das haus und der garten sind nahe am fluss weil wir das wasser lieben", "ru": "дом и сад находятся у реки потому что мы любим воду и лес"}
     rows = [(i, lang, " ".join(np.random.default_rng(i).permutation(text.split()).tolist() * 2)) for i, (lang, text) in enumerate((k, v) for k, v in seeds.items() for _ in range(12))]
