@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.runtime import scratch, spread
-from skein.llm.body import Scores, classify
+from skein.llm.body import in_body, lines_of
+from skein.llm.coded import LineScores, chunks
 from skein.llm.fit import train_on
 from skein.llm.langlabels import language_of
 
@@ -169,12 +170,14 @@ def redundancy(pages: DataFrame) -> DataFrame:
     weights = train_on(pages)
 
     def measure(batches):
-        scores, known = Scores(weights), Masked()
+        scores, known = LineScores(weights), Masked()
         for b in batches:
             rows = []
-            for i, title, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                _, lines, keep = classify(title, text, scores)
-                page = measured([x for x, k in zip(lines, keep, strict=True) if k], known)
+            ids, titles, texts, langs = (c.to_pylist() for c in b.columns)
+            split = (lines_of(title, text) for title, text in zip(titles, texts, strict=True))
+            bodies = ((p[1], of) for pages in chunks((h, lines, raws) for h, _, lines, raws in split) for p, of in zip(pages, scores.of(pages), strict=True))
+            for i, lang, (lines, of) in zip(ids, langs, bodies, strict=True):
+                page = measured([x for x, k in zip(lines, in_body(of), strict=True) if k], known)
                 rows.append((i, language_of(lang), [[*x[:3], *x.packed] for x in page], *sums(page)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_PAGE)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _PAGE.types, strict=True)], schema=_PAGE)

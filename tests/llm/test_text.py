@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import body, fit, language, langlabels, sitelines, spam, spans
+from skein.llm import body, coded, fit, language, langlabels, sitelines, spam, spans
 
 PAGES = "page_id long, url string, final_url string, title string, text string, lang string"
 
@@ -92,6 +92,45 @@ def test_fit_is_that_of_all_pages(spark):
     assert fit.train_on(spark.createDataFrame([], PAGES)) == {} == fit.train_on(spark.createDataFrame([(1, "u", "u", "t", "a", None)], PAGES))
 
 
+def test_lines_at_once_are_as_one_by_one():
+    # keys, labels, features, scores and gradient of many lines on arrays are those of body, and shared tags are kept once
+    odd = [("Final ΣΑΣ", "a  b\nΣΑΣ x\nfoo Final ΣΑΣ\nFINAL ΣΑΣ\n§2 abc © 2.3.2020\nX X T 12\nA/B C/D a/b b\nFinal ΣΑΣ"), (None, "one\ntwo · three\n" + "word " * 3000 + "\n(1) (2) x (3)"), ("", "\n"), (None, "a")]
+    texts = [r[3:5] for r in _many(600)] + odd * 6
+    split = [(h, lines, raws) for h, _, lines, raws in (body.lines_of(*t) for t in texts)]
+    pages = [p for p in split if len(p[1]) > 2]
+    often = collections.Counter(w for _, lines, _ in pages for w in {w for x in lines for w in body.words_of(x)})
+    known, rare = body.Tokens(), body.often_words(often, len(pages))
+    c = coded.Chunk(pages, coded.Lines(rare))
+    c.titles()
+    c.shapes()
+    c.tags()
+    facts, (block, names) = c.facts(), fit.block_of(c)
+    patterns = body.Patterns(known, rare)
+    keys = [patterns.of(x, h) for h, lines, _ in pages for x in lines]
+    for mine, want in zip(facts.keys.tolist(), zip(*keys, strict=True), strict=True):
+        assert len(set(mine)) == len(set(want)) == len(set(zip(mine, want, strict=True)))
+    on = collections.Counter(k for x, p in zip(facts.keys, [c.page] * 4, strict=True) for k, _ in set(zip(x.tolist(), p.tolist(), strict=True)))
+    seen = collections.Counter(facts.keys.ravel().tolist())
+    y = facts.labels(lambda x: np.array([on[k] if seen[k] <= 1.25 * on[k] else 0 for k in x.tolist()]), len(pages))
+    labels = body.labels(pages, known)
+    assert y.tolist() == [k for page in labels for k in page]
+
+    lines = [x for p, mine in zip(pages, labels, strict=True) for x in body.Features(known).of(*p, mine)]
+    count = collections.Counter(f for x, _, _ in lines for f in x)
+    assert {f: n for f, n in zip(names, block.features(len(names), y >= 0).tolist(), strict=True) if n} == count
+    assert len(block.parts) + len(block.words) < sum(count.values()) / 2
+    ids = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 9))}
+    rows = [[*(ids[f] for f in x if f in ids), *([len(ids)] if any(f not in ids for f in x) else [])] for x, _, _ in lines]
+    w, label, weight = np.random.default_rng(0).normal(size=len(ids) + 1), np.array([y for _, y, _ in lines]), np.array([x for _, _, x in lines])
+    want = body.gradient(w, np.concatenate(rows), np.array(list(map(len, rows))), label, weight)
+    kept = block.kept(np.array([ids.get(f, -1) for f in names]), len(ids), y >= 0)
+    assert kept.gradient(w, label, c.alike[y >= 0] ** -0.5) == pytest.approx(want)
+
+    weights = {**{f: float(w[i]) for f, i in ids.items()}, "§rare": float(w[-1])}
+    one, many = body.Scores(weights), coded.LineScores(weights)
+    assert [s for part in coded.chunks(split) for page in many.of(part) for s in page] == pytest.approx([s for p in split for s in one.of(*p)])
+
+
 def test_ordinary_text_is_that_of_all_pages(spark):
     # 60 Dutch pages of 6,000: enough for a fit of their own only if all are read
     rows = list(_many(6000, True))
